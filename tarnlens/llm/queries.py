@@ -10,6 +10,8 @@ from .decontaminate import op7_decontamination
 from .line_dedup import OP4_SQL, op4_line_dedup
 from .ogg import op10_ogg
 from .pieces import op8_sentencepiece
+from .repeated_bytes import op6_suffix_dedup
+from .substring_dedup import op9_substring_dedup
 from .token_counts import op1_token_counts
 
 
@@ -17,8 +19,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op4_line_dedup": op4_line_dedup,
+        "op6_suffix_dedup": op6_suffix_dedup,
         "op7_decontamination": op7_decontamination,
         "op8_sentencepiece": op8_sentencepiece,
+        "op9_substring_dedup": op9_substring_dedup,
         "op10_ogg": op10_ogg,
     }
 
