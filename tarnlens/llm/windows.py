@@ -141,7 +141,8 @@ def repeated_windows(source: DataFrame, coder: Callable[[bytes], np.ndarray], w:
     """Rows (id, th, spans array<struct<start,n>>): runs of windows that occur again or, with keep_first, that occur
     earlier (in a smaller id, or at a smaller start of the same id). source is keyed()."""
     seeds = common.arrow_map(source, _seed_rows(coder, w, k), "a bigint, c bigint, id bigint, th bigint, start int, n int")
-    again = seeds.groupBy("a").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("a")
+    # what is counted is written before it is joined: then both sides are dealt by the join alone, and Spark can split a hot key
+    again = common.settled(seeds.groupBy("a").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("a"), "anchors")
     found = common.settled(seeds.join(again, "a"), "seeds")
 
     # a place fits a long where ids and texts allow it; else a decimal of 38 digits orders the same way
@@ -150,24 +151,26 @@ def repeated_windows(source: DataFrame, coder: Callable[[bytes], np.ndarray], w:
     place = lambda at: F.col("id").cast(kind) * F.lit(1 << 24 if kind == "bigint" else 1 << 31).cast(kind) + F.col(at).cast(kind)
 
     found = found.withColumn("place", place("start"))
-    classes = found.groupBy("a", "c").agg(F.count(F.lit(1)).alias("members"), F.min("place").alias("first"))
+    classes = common.settled(found.groupBy("a", "c").agg(F.count(F.lit(1)).alias("members"), F.min("place").alias("first")), "classes")
     told = found.join(classes, ["a", "c"])
     if keep_first:
         covered = told.filter("place <> first").select("id", "th", "start", "n")
-        several = classes.groupBy("a").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("a")
+        several = common.settled(classes.groupBy("a").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("a"), "open")
         still = told.filter("place = first").join(several, "a").withColumn("need", F.lit(True))
     else:
         covered = told.filter("members > 1").select("id", "th", "start", "n")
-        lone = classes.groupBy("a").agg(F.count(F.lit(1)).alias("m"), F.min("members").alias("least")).filter("m > 1 and least = 1").select("a")
+        lone = common.settled(classes.groupBy("a").agg(F.count(F.lit(1)).alias("m"), F.min("members").alias("least")).filter("m > 1 and least = 1").select("a"), "open")
         still = told.filter("place = first").join(lone, "a").withColumn("need", F.col("members") == 1)
     wanted = still.groupBy("id", "th").agg(F.collect_list(F.struct("a", "start", "n", "need")).alias("blocks"))
     texts = source.join(wanted, ["id", "th"]).select("id", "th", "text", "blocks")
     single = common.settled(common.arrow_map(texts, _window_rows(coder, w), "a bigint, h bigint, id bigint, th bigint, pos int, need boolean"), "windows").withColumn("place", place("pos"))
     if keep_first:
         repeats = single.groupBy("a", "h").agg(F.count(F.lit(1)).alias("m"), F.min("place").alias("first")).filter("m > 1")
+        repeats = common.settled(repeats, "repeats")
         more = single.join(repeats, ["a", "h"]).filter("place <> first")
     else:
         repeats = single.groupBy("a", "h").agg(F.count(F.lit(1)).alias("m"), F.max("need").alias("wanted")).filter("m > 1 and wanted").select("a", "h")
+        repeats = common.settled(repeats, "repeats")
         more = single.filter("need").join(repeats, ["a", "h"])
     spans = covered.unionByName(more.select("id", "th", F.col("pos").alias("start"), F.lit(1).alias("n")))
     return spans.groupBy("id", "th").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
