@@ -18,6 +18,7 @@ from functools import lru_cache, partial
 from itertools import accumulate
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,6 +85,8 @@ class Encoder:
         reach = any(MARK in p.piece.lstrip(MARK) for p in model.pieces)
         self.simple = not self.map.units and self.prefix and not self.trim and self.escape and not reach and not model.trainer_spec.treat_whitespace_as_suffix
         self.kept: dict[str, tuple[list[int], list[int], str, int]] = {}
+        self.bytes_kept: dict[str, bytes] = {}
+        self.dtype = np.dtype("<u2" if len(model.pieces) <= 1 << 16 else "<u4")
         self._cut = re.compile(f"[ {MARK}]*[^ {MARK}]+|[ {MARK}]+").findall
 
     def normalise(self, data: bytes) -> tuple[bytes, list[int]]:
@@ -158,6 +161,24 @@ class Encoder:
             base += found[3]
         return Encoding(ids, ends, ",".join(texts))
 
+    def packed(self, text: str) -> bytes:
+        """The ids of a whole text as little-endian integers of two bytes (four, for a vocabulary beyond 65,536)."""
+        if not text:
+            return b""
+        if not self.simple:
+            return np.array(self.sp.encode(text), self.dtype).tobytes()
+        out, kept = [], self.bytes_kept
+        for n, segment in enumerate(self._cut(text)):
+            if (found := kept.get(segment) if n else None) is None:
+                rest = segment if n == 0 else segment[1:]
+                found = np.array(self.sp.encode(rest) if rest else [self.sp.piece_to_id(MARK)], self.dtype).tobytes()
+                if n and len(segment) <= KEPT_LENGTH:
+                    if len(kept) >= KEPT:
+                        kept.clear()
+                    kept[segment] = found
+            out.append(found)
+        return b"".join(out)
+
     def decode(self, ids: list[int]) -> str:
         return self.sp.decode(ids)
 

@@ -13,11 +13,15 @@ from .pieces import op8_sentencepiece
 from .repeated_bytes import op6_suffix_dedup
 from .substring_dedup import op9_substring_dedup
 from .token_counts import op1_token_counts
+from .token_shards import op2_token_shards
+from .toxicity import op3_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op2_token_shards": op2_token_shards,
+        "op3_toxicity": op3_toxicity,
         "op4_line_dedup": op4_line_dedup,
         "op6_suffix_dedup": op6_suffix_dedup,
         "op7_decontamination": op7_decontamination,
