@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op7_decontamination
 from .line_dedup import OP4_SQL, op4_line_dedup
+from .ngram_join import op5_ngram_join
 from .ogg import op10_ogg
 from .pieces import op8_sentencepiece
 from .repeated_bytes import op6_suffix_dedup
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_shards": op2_token_shards,
         "op3_toxicity": op3_toxicity,
         "op4_line_dedup": op4_line_dedup,
+        "op5_ngram_join": op5_ngram_join,
         "op6_suffix_dedup": op6_suffix_dedup,
         "op7_decontamination": op7_decontamination,
         "op8_sentencepiece": op8_sentencepiece,
