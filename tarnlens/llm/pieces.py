@@ -2,9 +2,8 @@
 
 Method: a text is normalised by longest-prefix matching against the model's compiled character map (a double-array
 trie followed by replacement strings), recording for every normalised byte the source bytes it stands for; white
-space is escaped and the dummy prefix put in front. The normalised text is cut where a piece can't reach across (no
-piece of the vocabulary has the space mark after another character), so segments are encoded once and reused. Every
-piece is then projected to its span of original bytes.
+space is escaped and the dummy prefix put in front. Every piece is then projected to its span of original bytes by that
+alignment. Where the map is empty the alignment has a closed form, and spans are one cumulative sum.
 """
 
 from __future__ import annotations
@@ -26,8 +25,8 @@ from pyspark.sql import functions as F
 from . import common
 
 MARK = "▁"
-#: Segments that a worker keeps, and the longest that it keeps.
-KEPT, KEPT_LENGTH = 200_000, 64
+#: Segments that a worker keeps.
+KEPT = 400_000
 
 
 class CharacterMap:
@@ -66,8 +65,8 @@ class Encoding(NamedTuple):
     ids: list[int]
     ends: list[int]
     """The end of each piece's span of source bytes; a span begins where the last one ended."""
-    text: str
-    """The ids in decimal, joined by commas."""
+    covered: int
+    """Source bytes that the pieces cover together."""
 
 
 class Encoder:
@@ -82,11 +81,15 @@ class Encoder:
         spec = model.normalizer_spec
         self.map = CharacterMap(spec.precompiled_charsmap)
         self.prefix, self.trim, self.escape = spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces
+        self.plain = not self.map.units and self.prefix and not self.trim and self.escape
         reach = any(MARK in p.piece.lstrip(MARK) for p in model.pieces)
-        self.simple = not self.map.units and self.prefix and not self.trim and self.escape and not reach and not model.trainer_spec.treat_whitespace_as_suffix
-        self.kept: dict[str, tuple[list[int], list[int], str, int]] = {}
-        self.bytes_kept: dict[str, bytes] = {}
-        self.dtype = np.dtype("<u2" if len(model.pieces) <= 1 << 16 else "<u4")
+        self.separable = self.plain and not reach and not model.trainer_spec.treat_whitespace_as_suffix
+        # source bytes of each piece where nothing is mapped: a byte piece has one, a space mark stands for one
+        self.widths = np.array([1 if p.type == 6 else len(p.piece.encode()) - 2 * p.piece.count(MARK) for p in model.pieces])
+        self.decimal = [str(i) for i in range(len(model.pieces))]
+        self.bare = [self.sp.piece_to_id(MARK)]
+        self.kept: dict[str, bytes] = {}
+        self.code, self.width = ("H", 2) if len(model.pieces) <= 1 << 16 else ("I", 4)
         self._cut = re.compile(f"[ {MARK}]*[^ {MARK}]+|[ {MARK}]+").findall
 
     def normalise(self, data: bytes) -> tuple[bytes, list[int]]:
@@ -106,7 +109,7 @@ class Encoder:
                 new = data[at : at + step]
             else:
                 step, new = found
-            for byte in new:
+            for n, byte in enumerate(new):
                 if byte == 32:
                     if self.trim and out.endswith(space):
                         continue
@@ -114,7 +117,7 @@ class Encoder:
                     align += [at] * len(space)
                 else:
                     out.append(byte)
-                    align.append(at)
+                    align.append(at if found else at + n)
             at += step
         if self.trim:
             while out.endswith(space):
@@ -126,57 +129,50 @@ class Encoder:
         places = accumulate(1 if byte else len(piece.encode("utf-8", "surrogatepass")) for piece, byte in pieces)
         return [align[p] for p in places]
 
-    def _segment(self, segment: str, first: bool) -> tuple[list[int], list[int], str, int]:
-        """ids, ends, the ids as text, source bytes. A later segment begins with a space mark, which stands in for the dummy prefix."""
-        rest = segment if first else segment[1:]
-        ids = self.sp.encode(rest) if rest else [self.sp.piece_to_id(MARK)]
-        data = segment.encode("utf-8", "surrogatepass")
-        prefix, self.prefix = self.prefix, first
-        _, align = self.normalise(data)
-        self.prefix = prefix
-        ends = self._spans([(self.sp.id_to_piece(i), self.sp.is_byte(i)) for i in ids], align)
-        return ids, ends, ",".join(map(str, ids)), len(data)
-
-    def encode(self, text: str) -> Encoding:
-        """The library's ids for a whole text, and the source bytes of each piece."""
+    def encode(self, text: str | None, spans: bool = True) -> Encoding:
+        """The library's ids for a whole text and, with spans, where each piece ends in the text's UTF-8 bytes."""
         if not text:
-            return Encoding([], [], "")
-        if not self.simple:
-            proto = self.sp.encode(text, out_type="immutable_proto")
-            ids = [p.id for p in proto.pieces]
-            _, align = self.normalise(common.utf8(text))
-            return Encoding(ids, self._spans([(p.piece, self.sp.is_byte(p.id)) for p in proto.pieces], align), ",".join(map(str, ids)))
-        ids, ends, texts, base, kept = [], [], [], 0, self.kept
-        segments = self._cut(text)
-        for n, segment in enumerate(segments):
-            if (found := kept.get(segment) if n else None) is None:
-                found = self._segment(segment, n == 0)
-                if n and len(segment) <= KEPT_LENGTH:
-                    if len(kept) >= KEPT:
-                        kept.clear()
-                    kept[segment] = found
-            ids += found[0]
-            ends += [base + e for e in found[1]]
-            texts.append(found[2])
-            base += found[3]
-        return Encoding(ids, ends, ",".join(texts))
-
-    def packed(self, text: str) -> bytes:
-        """The ids of a whole text as little-endian integers of two bytes (four, for a vocabulary beyond 65,536)."""
-        if not text:
-            return b""
-        if not self.simple:
-            return np.array(self.sp.encode(text), self.dtype).tobytes()
-        out, kept = [], self.bytes_kept
-        for n, segment in enumerate(self._cut(text)):
-            if (found := kept.get(segment) if n else None) is None:
-                rest = segment if n == 0 else segment[1:]
-                found = np.array(self.sp.encode(rest) if rest else [self.sp.piece_to_id(MARK)], self.dtype).tobytes()
-                if n and len(segment) <= KEPT_LENGTH:
-                    if len(kept) >= KEPT:
-                        kept.clear()
-                    kept[segment] = found
-            out.append(found)
+            return Encoding([], [], 0)
+        if self.plain and MARK not in text:
+            # nothing is mapped: a mark stands for one blank, but the dummy prefix for nothing, and all else for itself
+            ids = self.sp.encode(text)
+            ends = np.cumsum(self.widths[ids]) - 1
+            return Encoding(ids, ends.tolist() if spans else [], int(ends[-1]))
+        proto = self.sp.encode(text, return_type="proto")
+        ids = [p.id for p in proto.pieces]
+        _, align = self.normalise(common.utf8(text))
+        ends = self._spans([(p.piece, self.sp.is_byte(p.id)) for p in proto.pieces], align)
+        return Encoding(ids, ends, ends[-1] if ends else 0)
+
+    def _learn(self, cuts: list[list[str]]) -> None:
+        """Encode in few calls what isn't known yet of some texts' later segments.
+
+        Each begins with a space mark, which stands in for the dummy prefix.
+        """
+        kept = self.kept
+        missing = list({s for cut in cuts for s in cut[1:]}.difference(kept))
+        if len(kept) + len(missing) > KEPT:
+            kept.clear()
+            missing = list({s for cut in cuts for s in cut[1:]})
+        for at in range(0, len(missing), 10_000):
+            some = missing[at : at + 10_000]
+            for s, ids in zip(some, self.sp.encode([s[1:] for s in some], num_threads=1), strict=True):
+                kept[s] = array(self.code, ids or self.bare).tobytes()
+
+    def packed(self, texts: list[str | None], end: bytes) -> bytes:
+        """The ids of whole texts as little-endian integers of two bytes (four, for a vocabulary beyond 65,536), each text ended by `end`.
+
+        Texts are cut where no piece reaches across, and a segment that comes again isn't encoded again.
+        """
+        if not self.separable:
+            return b"".join(array(self.code, self.sp.encode(t or "")).tobytes() + end for t in texts)
+        cuts, out = [self._cut(t) if t else [] for t in texts], []
+        self._learn(cuts)
+        for cut in cuts:
+            if cut:
+                out.append(array(self.code, self.sp.encode(cut[0])).tobytes())
+                out += map(self.kept.__getitem__, cut[1:])
+            out.append(end)
         return b"".join(out)
 
     def decode(self, ids: list[int]) -> str:
@@ -192,7 +188,7 @@ def encoder(path: str) -> Encoder:
 def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     enc = encoder(path)
     for b in batches:
-        found = [enc.encode(t or "") for t in b.column("text").to_pylist()]
+        found = [enc.encode(t) for t in b.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([e.ids for e in found], pa.list_(pa.int32())), pa.array([[0, *e.ends[:-1]] if e.ends else [] for e in found], pa.list_(pa.int32())), pa.array([e.ends for e in found], pa.list_(pa.int32()))], names=["id", "ids", "begins", "ends"])
 
 
@@ -202,8 +198,9 @@ def _digest(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
     for b in batches:
         out = [], [], [], []
         for text in b.column("text").to_pylist():
-            e = enc.encode(text or "")
-            for column, value in zip(out, (len(e.ids), sha(e.text), sha(enc.decode(e.ids)), e.ends[-1] if e.ends else 0), strict=True):
+            e = enc.encode(text, spans=False)
+            shown = ",".join([enc.decimal[i] for i in e.ids])
+            for column, value in zip(out, (len(e.ids), sha(shown), sha(enc.decode(e.ids)), e.covered), strict=True):
                 column.append(value)
         yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True))], names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes"])
 
@@ -217,8 +214,8 @@ def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
 def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, ids, begins, ends): each piece's id and its span of the text's UTF-8 bytes, one row per input row.
 
-    Null and empty texts give empty arrays. A dummy prefix has an empty span, and of the byte pieces of one character the
-    last has its bytes. Null and repeated ids are carried as they are; other columns are ignored.
+    Null and empty texts give empty arrays. A dummy prefix has an empty span, a byte piece has its byte, and of the byte
+    pieces of a mapped character the last has its bytes. Null and repeated ids are carried as they are; other columns are ignored.
     """
     kind = dict(docs.dtypes)[id_col]
     rows = common.arrow_map(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), partial(_encode, path=model_path), f"id {kind}, ids array<int>, begins array<int>, ends array<int>")

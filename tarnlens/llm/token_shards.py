@@ -64,9 +64,10 @@ def _tokens(path: str, end_id: int):
         from pyspark import TaskContext
 
         enc, part, at = encoder(path), TaskContext.get().partitionId(), 0
-        end, width = np.array([end_id], enc.dtype).tobytes(), enc.dtype.itemsize
+        width = enc.width
+        end = end_id.to_bytes(width, "little")
         for b in batches:
-            ids = b"".join(enc.packed(t or "") + end for t in b.column("text").to_pylist())
+            ids = enc.packed(b.column("text").to_pylist(), end)
             yield common.batch(["part", "at", "n", "ids"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()], [[part], [at], [len(ids) // width], [ids]])
             at += len(ids) // width
 
@@ -82,7 +83,7 @@ def write_shards(docs: DataFrame, out: str, model_path: str, length: int = LENGT
     task that is repeated writes the same bytes under a name of its own and renames them.
     """
     spark = docs.sparkSession
-    width = encoder(model_path).dtype.itemsize
+    width = encoder(model_path).width
     packed = common.settled(common.arrow_map(docs.select(F.col(text_col).alias("text")), _tokens(model_path, end_id), "part bigint, at bigint, n bigint, ids binary"), "ids")
     # one number for each input partition comes to the driver
     totals = sorted((r.part, r.n) for r in packed.groupBy("part").agg(F.sum("n").alias("n")).toLocalIterator())
