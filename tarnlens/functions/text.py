@@ -34,7 +34,7 @@ def url_quoted(c: Column | str, safe_slash: bool = False) -> Column:
 
 def source_link(base: Column | str, ref: Column | str, path: Column | str, first: Column | str | None = None, last: Column | str | None = None) -> Column:
     """base/blob/ref/path#Lx(-Ly); null where base, ref or path is missing."""
-    c = F.concat(F.rtrim(F.lit("/"), F.col(base) if isinstance(base, str) else base), F.lit("/blob/"), url_quoted(ref), F.lit("/"), url_quoted(path, safe_slash=True))
+    c = F.concat(F.rtrim(F.col(base) if isinstance(base, str) else base, F.lit("/")), F.lit("/blob/"), url_quoted(ref), F.lit("/"), url_quoted(path, safe_slash=True))
     if first is None:
         return c
     first = F.col(first) if isinstance(first, str) else first

@@ -10,7 +10,12 @@ from tarnlens.functions.text import collapse
 
 def dedup(df: DataFrame, key: Column, seq: str, lists: dict[str, str], extra: list[Column] = ()) -> DataFrame:
     """One row per key: count, first in sequence, and for each of `lists` its distinct values in sequence."""
-    firsts = [F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct(seq, c))), lambda x, c=c: x[c])).alias(name) for name, c in lists.items()]
+
+    def ordered(c: str) -> Column:
+        rows = F.array_sort(F.collect_list(F.struct(F.col(seq).alias("seq"), F.col(c).alias("value"))))
+        return F.array_distinct(F.transform(rows, lambda x: x["value"]))
+
+    firsts = [ordered(c).alias(name) for name, c in lists.items()]
     return df.groupBy(key.alias("_key")).agg(F.count(F.lit(1)).alias("duplicate_count"), F.min(seq).alias("first_id"), *firsts, *extra).drop("_key")
 
 
