@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tarnlens.functions import text as T
 from tarnlens.operators import closure, lines, merge, rank, resolve, state
+from tarnlens.plans import analysis, fixtures
 from tarnlens.sources.tables import dimension, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -403,3 +404,23 @@ SELECT doc_id, CAST(count(*) FILTER (WHERE NOT fence AND k % 2 = 0) AS BIGINT) A
 def fence_strip(spark: SparkSession, d: str) -> DataFrame:
     kept = F.aggregate(F.split("text", "\n", -1), F.struct(F.lit(False).alias("inside"), F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("c")), lambda a, x: F.when(F.ltrim(x).startswith("```"), F.struct((~a["inside"]).alias("inside"), a["n"].alias("n"), a["c"].alias("c"))).when(a["inside"], a).otherwise(F.struct(a["inside"].alias("inside"), (a["n"] + 1).alias("n"), (a["c"] + F.char_length(x)).alias("c"))))
     return table(spark, d, "documents").select("doc_id", kept.alias("k")).select("doc_id", F.col("k.n").alias("n_lines"), F.col("k.c").alias("n_chars"))
+
+
+def _fixture_files(spark: SparkSession) -> DataFrame:
+    return dimension(spark, list(fixtures.SOURCES.items()), "file string, content string")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{i}', '{t}', '{f}', CAST({n} AS INTEGER), '{m}', '{c}')" for i, t, f, n, m, c in fixtures.EXPECTED) + ") AS x(id, type, file, line, function, confidence)")
+def java_findings(spark: SparkSession, d: str) -> DataFrame:
+    return analysis.prioritize(analysis.detect(_fixture_files(spark))).select("id", "type", "file", "line", "function", "confidence")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{c}', {[*names]!r})" for c, names in fixtures.EXPECTED_CALLS) + ") AS x(caller, callees)")
+def java_call_graph(spark: SparkSession, d: str) -> DataFrame:
+    return analysis.call_graph(analysis.syntax_nodes(_fixture_files(spark)))
+
+
+@query("SELECT * FROM (VALUES ('shop/Catalog.java', CAST(80 AS BIGINT)), ('shop/Page.java', CAST(80 AS BIGINT)), ('shop/Tools.java', CAST(60 AS BIGINT)), ('shop/items.xml', CAST(90 AS BIGINT))) AS x(file, score)")
+def java_scores(spark: SparkSession, d: str) -> DataFrame:
+    files = _fixture_files(spark)
+    return analysis.scores(analysis.prioritize(analysis.detect(files)), files)
