@@ -20,7 +20,8 @@ def scan_sources(spark: SparkSession, path: str) -> DataFrame:
     """(file, content) of the Java files below a folder, and of its mapper files; Java files must be UTF-8."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     java, xml = F.lower("path").endswith(".java"), F.lower("path").endswith(".xml")
-    text = F.when(java, F.decode("content", F.lit("utf-8"))).otherwise(F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")))
+    content = F.col("content").cast("string")
+    text = F.when(java, F.validate_utf8(content)).otherwise(F.try_validate_utf8(content))
     files = raw.filter(java | xml).select(F.col("path").alias("file"), text.alias("content"))
     return files.filter(F.lower("file").endswith(".java") | F.col("content").rlike(r"(?i)<\s*(?:mapper|sqlMap)\b"))
 

@@ -26,7 +26,6 @@ def query(sql: str | None = None):
     return add
 
 
-ONE = F.lit(1)
 TOKEN = r'\btoken\s*=\s*"[0-9a-f]{40}"'
 #: Rule ids and patterns of the scans below.
 DOCUMENT_RULES = [("hex-token", TOKEN), ("mail", r"[a-z0-9.]+@[a-z0-9]+\.example\.com"), ("address", r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"), ("license", r"Licensed under")]
@@ -111,7 +110,7 @@ SELECT min(d.doc_id) AS first_id, CAST(max(l.quality) AS INTEGER) AS best_qualit
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY trim(regexp_replace(d.text, '\s+', ' ', 'g'))""")
 def merge_best_confidence(spark: SparkSession, d: str) -> DataFrame:
     joined = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
-    return joined.groupBy(merge.normalised("text").alias("k")).agg(F.min("doc_id").alias("first_id"), F.max("quality").cast("int").alias("best_quality"), F.min_by("doc_id", F.struct(-F.col("quality"), "doc_id")).alias("best_doc"), F.count(ONE).alias("n")).drop("k")
+    return joined.groupBy(merge.normalised("text").alias("k")).agg(F.min("doc_id").alias("first_id"), F.max("quality").cast("int").alias("best_quality"), F.min_by("doc_id", F.struct(-F.col("quality"), "doc_id")).alias("best_doc"), F.count("*").alias("n")).drop("k")
 
 
 @query(f"""
@@ -138,17 +137,17 @@ def count_by_category_extra(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT o_custkey, CAST(greatest(0, 100 - 10 * count(*)) AS BIGINT) AS score FROM orders GROUP BY o_custkey")
 def file_score(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").groupBy("o_custkey").agg(merge.deducted(F.count(ONE)).alias("score"))
+    return table(spark, d, "orders").groupBy("o_custkey").agg(merge.deducted(F.count("*")).alias("score"))
 
 
 @query("SELECT CAST(round_even(avg(score), 0) AS BIGINT) AS overall, CAST(count(*) AS BIGINT) AS n_files FROM (SELECT greatest(0, 100 - 10 * count(*)) AS score FROM orders GROUP BY o_custkey)")
 def overall_score(spark: SparkSession, d: str) -> DataFrame:
-    return file_score(spark, d).agg(merge.overall("score").alias("overall"), F.count(ONE).alias("n_files"))
+    return file_score(spark, d).agg(merge.overall("score").alias("overall"), F.count("*").alias("n_files"))
 
 
 @query("SELECT c_custkey, CAST(greatest(0, 100 - 10 * count(o_orderkey)) AS BIGINT) AS score FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
 def clean_files_score_100(spark: SparkSession, d: str) -> DataFrame:
-    counted = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(ONE).alias("n"))
+    counted = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
     return table(spark, d, "customer").select("c_custkey").join(counted, "c_custkey", "left").select("c_custkey", merge.deducted(F.coalesce("n", F.lit(0).cast("bigint"))).alias("score"))
 
 
@@ -249,7 +248,7 @@ def context_seen_before(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT conv_id, role, CAST(count(*) AS BIGINT) AS arity, role || '/' || CAST(count(*) AS VARCHAR) AS signature, min(turn) AS first_turn FROM conversations GROUP BY conv_id, role")
 def method_index(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "conversations").groupBy("conv_id", "role").agg(F.count(ONE).alias("arity"), F.concat_ws("/", "role", F.count(ONE).cast("string")).alias("signature"), F.min("turn").alias("first_turn"))
+    return table(spark, d, "conversations").groupBy("conv_id", "role").agg(F.count("*").alias("arity"), F.concat_ws("/", "role", F.count("*").cast("string")).alias("signature"), F.min("turn").alias("first_turn"))
 
 
 @query("SELECT l_orderkey AS caller, list(l_partkey ORDER BY first_seen, l_partkey) AS callees FROM (SELECT l_orderkey, l_partkey, min(l_linenumber) AS first_seen FROM lineitem GROUP BY ALL) GROUP BY l_orderkey")
@@ -273,7 +272,7 @@ def group_payload(spark: SparkSession, d: str) -> DataFrame:
     # the lists are cut to their first k before they are gathered, so a group of any size sends k rows
     orders = table(spark, d, "orders")
     first = lambda rows, c, k, name: rows.withColumn("_k", F.row_number().over(Window.partitionBy("o_orderstatus").orderBy(c))).filter(F.col("_k") <= k).groupBy("o_orderstatus").agg(F.array_sort(F.collect_list(c)).alias(name))
-    counts = orders.groupBy("o_orderstatus").agg(F.count(ONE).alias("n"), F.count_distinct("o_custkey").alias("n_customers"))
+    counts = orders.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.count_distinct("o_custkey").alias("n_customers"))
     ids = first(orders.select("o_orderstatus", "o_orderkey"), "o_orderkey", 5, "first_ids")
     customers = first(orders.select("o_orderstatus", "o_custkey").distinct(), "o_custkey", 3, "first_customers")
     return counts.join(ids, "o_orderstatus").join(customers, "o_orderstatus")
@@ -291,14 +290,14 @@ def citation_union(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT l_orderkey, l_linenumber, CAST(count(*) OVER (PARTITION BY l_orderkey) - 1 AS BIGINT) AS siblings FROM lineitem")
 def sibling_counts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.count(ONE).over(Window.partitionBy("l_orderkey")) - 1).alias("siblings"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.count("*").over(Window.partitionBy("l_orderkey")) - 1).alias("siblings"))
 
 
 @query("""
 WITH g AS (SELECT o_custkey, count(*) AS n, list_sort(list(DISTINCT CAST(o_orderdate AS DATE))) AS ds FROM orders GROUP BY o_custkey)
 SELECT o_custkey, CAST(n AS BIGINT) AS n, array_to_string(list_transform(ds[1:4], lambda x: CAST(x AS VARCHAR)), ', ') || (CASE WHEN len(ds) > 4 THEN ' +' || CAST(len(ds) - 4 AS VARCHAR) ELSE '' END) AS shown FROM g""")
 def file_table(spark: SparkSession, d: str) -> DataFrame:
-    grouped = table(spark, d, "orders").groupBy("o_custkey").agg(F.count(ONE).alias("n"), F.array_sort(F.collect_set(F.col("o_orderdate").cast("date"))).alias("ds"))
+    grouped = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.array_sort(F.collect_set(F.col("o_orderdate").cast("date"))).alias("ds"))
     more = F.when(F.size("ds") > 4, F.concat(F.lit(" +"), (F.size("ds") - 4).cast("string"))).otherwise("")
     return grouped.select("o_custkey", "n", F.concat(F.array_join(F.transform(F.slice("ds", 1, 4), lambda x: x.cast("string")), ", "), more).alias("shown"))
 
@@ -306,7 +305,7 @@ def file_table(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_type, CAST(n AS BIGINT) AS n, CAST(row_number() OVER (ORDER BY n DESC, event_type) AS INTEGER) AS place FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)")
 def distribution(spark: SparkSession, d: str) -> DataFrame:
     # the window is over one row per type
-    return table(spark, d, "events").groupBy("event_type").agg(F.count(ONE).alias("n")).withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "event_type")))
+    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n")).withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "event_type")))
 
 
 @query(rf"""
@@ -316,7 +315,7 @@ def confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
     verdict = F.col("text").rlike(r"(?i)\b(idiot|moron|scum|trash|loser)\b")
     rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select((F.col("toxic") == 1).alias("truth"), verdict.alias("verdict"))
     cell = F.when(F.col("truth") & F.col("verdict"), "TP").when(F.col("truth"), "FN").when(F.col("verdict"), "FP").otherwise("TN")
-    return rows.groupBy("truth", "verdict").agg(F.count(ONE).alias("n")).withColumn("cell", cell)
+    return rows.groupBy("truth", "verdict").agg(F.count("*").alias("n")).withColumn("cell", cell)
 
 
 USER = 7
@@ -384,7 +383,7 @@ def set_union(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT CAST(count(*) AS BIGINT) AS n_missing FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)")
 def set_inclusion(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "labels").select("doc_id").distinct().join(table(spark, d, "documents").select("doc_id"), "doc_id", "left_anti").agg(F.count(ONE).alias("n_missing"))
+    return table(spark, d, "labels").select("doc_id").distinct().join(table(spark, d, "documents").select("doc_id"), "doc_id", "left_anti").agg(F.count("*").alias("n_missing"))
 
 
 @query("""
