@@ -6,8 +6,8 @@ word; an occurrence is a candidate only if the document is long enough on both s
 bound), and is then verified word by word over the window's own length.
 
 The benchmark is a stated query set. It is split by item into blocks of at most BLOCK_BYTES bytes of text; each block's
-index is broadcast and all documents pass by it. A block's size is bounded whatever the benchmark's size, and with one
-block, the usual case, the documents are scanned without any shuffle.
+index is broadcast and all documents pass by it in turn, carrying what they have hit. A block's size is bounded whatever
+the benchmark's size, and with one block, the usual case, the documents are scanned without any shuffle.
 """
 
 from __future__ import annotations
@@ -83,7 +83,7 @@ def find_hits(words: list[bytes], index: Index) -> tuple[int, set[str]]:
     return hit, items
 
 
-def _spans_of(words: list[bytes], index: Index) -> set[int]:
+def hit_places(words: list[bytes], index: Index) -> set[int]:
     hit: set[int] = set()
     for at, word in enumerate(words):
         for place, w, _ in index.get(word, ()):
@@ -106,35 +106,31 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     total = asked.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint"))).first()[0] or 0
     blocks = -(-total // block_bytes) or 1
     kind = dict(docs.dtypes)[id_col]
-    passes = []
+    found = texts
     for k in range(blocks):
         mine = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
         items = [(r.item, r.text) for r in mine.toLocalIterator()]
         vocabulary = {w for _, t in items for w in common.letter_words(common.utf8(t))}
         index = spark.sparkContext.broadcast(build_index(items, word_documents(texts, vocabulary), window))
+        last = k == blocks - 1
 
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            from pyspark import TaskContext
-
-            row, own = TaskContext.get().partitionId() << 40, index.value
+        def run(batches: Iterator[pa.RecordBatch], index=index, last=last, several=blocks > 1) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                out = [], [], [], [], []
-                for text in b.column("text").to_pylist():
-                    row += 1
+                out = [], [], [], []
+                before = zip(b.column("items").to_pylist(), b.column("places").to_pylist(), strict=True) if "items" in b.schema.names else (([], []) for _ in range(b.num_rows))
+                for text, (names, places) in zip(b.column("text").to_pylist(), before, strict=True):
                     words = common.letter_words(common.utf8(text))
-                    n, found = find_hits(words, own)
-                    # places are needed only where several blocks are united
-                    places = sorted(_spans_of(words, own)) if blocks > 1 and n else []
-                    for column, value in zip(out, (row, len(words), n, sorted(found), places), strict=True):
+                    n, more = find_hits(words, index.value)
+                    if several:  # the places of all blocks are united
+                        places = sorted(hit_places(words, index.value).union(places))
+                        n = len(places)
+                    for column, value in zip(out, (len(words), n, sorted(more.union(names)), places), strict=True):
                         column.append(value)
-                yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32())), strict=True))], names=["id", "row", "n_words", "n_hit", "items", "places"])
-
-        passes.append(common.arrow_map(texts, run, f"id {kind}, row bigint, n_words bigint, n_hit bigint, items array<string>, places array<int>"))
-    found = passes[0]
-    if blocks > 1:
-        for more in passes[1:]:
-            found = found.unionByName(more)
-        found = found.groupBy("row", "id").agg(F.max("n_words").alias("n_words"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("bigint").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+                yield pa.RecordBatch.from_arrays([b.column("id"), *([] if last else [b.column("text")]), *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32())), strict=True))], names=["id", *([] if last else ["text"]), "n_words", "n_hit", "items", "places"])
+
+        found = common.arrow_map(found, run, f"id {kind}, {'' if last else 'text string, '}n_words bigint, n_hit bigint, items array<string>, places array<int>")
+        if not last:
+            found = common.settled(found, "hits")
     return found.select(F.col("id").alias(id_col), "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), "items", ((F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))).alias("contaminated"))
 
 
