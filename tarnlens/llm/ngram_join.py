@@ -33,7 +33,7 @@ from .substring_dedup import word_codes
 from .windows import Hashes, mix
 
 #: Sets and shingles to a chunk.
-CHUNK_SETS, CHUNK_SHINGLES = 128, 1 << 20
+CHUNK_SETS, CHUNK_SHINGLES = 64, 1 << 20
 LOWEST = -(2**63)
 
 
@@ -259,11 +259,13 @@ def link_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     sized = common.settled(common.arrow_map(source, _sized(n), "id bigint, n_shingles bigint, digest binary"), "sized")
     classes = common.settled(sized.filter("n_shingles > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.max("n_shingles").alias("size")), "classes")
 
-    # candidate groups: sets that share a signature are led to the smallest of them
-    signed = common.arrow_map(source, _signed(n, percent), "signature bigint, id bigint")
+    # candidate groups: sets that share a signature are led to the smallest of them; of equal sets one takes part
+    reps = classes.select(F.col("rep").alias("id")).distinct()
+    copies = sized.join(classes, "digest").filter("id <> rep").select("id").distinct().join(reps, "id", "left_anti")
+    first_of_each = source.join(common.settled(copies, "copies"), "id", "left_anti")
+    signed = common.arrow_map(first_of_each, _signed(n, percent), "signature bigint, id bigint")
     shared = common.settled(signed.groupBy("signature").agg(F.min("id").alias("lead"), F.max("id").alias("last")).filter("last > lead").select("signature", "lead"), "shared")
     led = signed.join(shared, "signature").filter("id <> lead").select("id", "lead").distinct()
-    reps = classes.select(F.col("rep").alias("id")).distinct()
     groups = components(led.join(reps, "id", "left_semi").select(F.col("id").alias("a"), F.col("lead").alias("b")))
     told = groups.select(F.col("node").alias("id"), F.col("label").alias("part"))
     sets = common.arrow_map(source.join(told, "id").select("id", "text", "part"), _shingled(n), "id bigint, part bigint, size bigint, shingles binary")
