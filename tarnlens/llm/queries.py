@@ -10,6 +10,7 @@ from .decontaminate import op7_decontamination
 from .line_dedup import OP4_SQL, op4_line_dedup
 from .ngram_join import op5_ngram_join
 from .ogg import op10_ogg
+from .oracles import OP5_SQL, OP7_SQL, OP9_SQL
 from .pieces import op8_sentencepiece
 from .repeated_bytes import op6_suffix_dedup
 from .substring_dedup import op9_substring_dedup
@@ -34,4 +35,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4_SQL}
+    return {"op4_line_dedup": OP4_SQL, "op5_ngram_join": OP5_SQL, "op7_decontamination": OP7_SQL, "op9_substring_dedup": OP9_SQL}
