@@ -92,8 +92,9 @@ def swaps(text: str | None, terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS)
 
 def screen(documents: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     """Features whose share differs between the classes by more than chance gives among all of them (z > SCREEN)."""
-    toxic = np.bincount(np.concatenate([d for d, y in zip(documents, labels, strict=True) if y]), minlength=DIMENSIONS)
-    clean = np.bincount(np.concatenate([d for d, y in zip(documents, labels, strict=True) if not y]), minlength=DIMENSIONS)
+    toxic, clean = np.zeros(DIMENSIONS, np.int64), np.zeros(DIMENSIONS, np.int64)
+    for d, y in zip(documents, labels, strict=True):
+        (toxic if y else clean)[d] += 1
     n1, n0 = int(labels.sum()), int(len(labels) - labels.sum())
     share = (toxic + clean + 1) / (n1 + n0 + 2)
     z = (toxic / n1 - clean / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
@@ -111,9 +112,9 @@ def train(documents: list[np.ndarray], labels: np.ndarray, pairs: dict[tuple[byt
     names = screen(documents, labels)
     place = np.full(DIMENSIONS, -1, np.int64)
     place[names] = np.arange(len(names))
-    rows = np.repeat(np.arange(len(documents)), [len(d) for d in documents])
-    ids = place[np.concatenate(documents)]
-    rows, ids = rows[ids >= 0], ids[ids >= 0]
+    live = [found[found >= 0] for found in (place[d] for d in documents)]
+    rows = np.repeat(np.arange(len(live)), [len(d) for d in live])
+    ids = np.concatenate(live)
     y = labels.astype(np.float64)
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
     sides = [(np.array([place[f] for f in set(word_features(a)) if place[f] >= 0], np.int64), np.array([place[f] for f in set(word_features(b)) if place[f] >= 0], np.int64), m / sum(pairs.values())) for (a, b), m in sorted(pairs.items())]
@@ -157,14 +158,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ordered = lambda y, n: known.filter(F.col("toxic") == y).orderBy(F.xxhash64("id"), "id").limit(n)
     chosen = ordered(1, sample[0]).unionByName(ordered(0, sample[1]))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("toxic", "text")
-    rows = common.arrow_map(texts, _sampled, "toxic int, features binary, swaps array<string>").collect()
-    rows.sort(key=lambda r: (r.toxic, bytes(r.features)))
+    rows: list[tuple[int, bytes]] = []
     pairs: dict[tuple[bytes, bytes], float] = {}
-    for r in rows:
+    # written by all tasks at once, then read one part at a time
+    for r in common.settled(common.arrow_map(texts, _sampled, "toxic int, features binary, swaps array<string>"), "sample").coalesce(8).toLocalIterator():
+        rows.append((r.toxic, bytes(r.features)))
         for p in r.swaps:
             a, b = p.encode().split(b" ")
             pairs[a, b] = pairs.get((a, b), 0.0) + 1
-    return train([np.frombuffer(r.features, np.int32) for r in rows], np.array([r.toxic for r in rows], np.int64), pairs, swap)
+    rows.sort()
+    return train([np.frombuffer(x, np.int32) for _, x in rows], np.array([y for y, _ in rows], np.int64), pairs, swap)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, carry: tuple[str, ...] = ()) -> DataFrame:
