@@ -11,6 +11,7 @@ joined by a shuffle. So no hot word reaches the shuffle, and nothing that grows
 
 from __future__ import annotations
 
+import os
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,10 +24,12 @@ from . import common
 HEAD_ROWS = 100_000
 HEAD_BYTES = 48
 #: Distinct pre-tokens that a task holds before it hands them on.
-FLUSH = 200_000
+FLUSH = 50_000
 
 
 def _load(path: str):
+    # a pool of threads in each worker would only take memory: the tasks are parallel already
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
