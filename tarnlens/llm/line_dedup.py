@@ -81,7 +81,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         repeated = repeated.filter("last > first")
     else:
         repeated = rows.select("key", "id").distinct().groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs)
-    marked = rows.join(repeated.select("key", "first"), "key").filter(F.col("id") != F.col("first"))
+    # written first, so that both sides of the join are dealt by it alone and Spark can split a key with very many rows
+    marked = rows.join(common.settled(repeated.select("key", "first"), "lines"), "key").filter(F.col("id") != F.col("first"))
     dropped = marked.groupBy("id").agg(F.flatten(F.collect_list("positions")).alias("dropped"))
     kinds = dict(docs.dtypes)
     texts = docs.select(F.coalesce(F.col(id_col).cast("bigint"), lowest).alias("_key"), F.col(id_col).alias("_id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)))
