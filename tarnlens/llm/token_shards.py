@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +60,15 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
 
 
+def squeezed(ids: bytes, width: int) -> bytes:
+    """Ids on their way between stages: all low bytes, then all high bytes, compressed."""
+    return zstandard.compress(np.frombuffer(ids, np.uint8).reshape(-1, width).T.tobytes(), 3)
+
+
+def unsqueezed(data: bytes, width: int) -> bytes:
+    return np.frombuffer(zstandard.decompress(data), np.uint8).reshape(width, -1).T.tobytes()
+
+
 def _tokens(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -68,7 +78,7 @@ def _tokens(path: str, end_id: int):
         end = end_id.to_bytes(width, "little")
         for b in batches:
             ids = enc.packed(b.column("text").to_pylist(), end)
-            yield common.batch(["part", "at", "n", "ids"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()], [[part], [at], [len(ids) // width], [ids]])
+            yield common.batch(["part", "at", "n", "ids"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()], [[part], [at], [len(ids) // width], [squeezed(ids, width)]])
             at += len(ids) // width
 
     return run
@@ -99,11 +109,12 @@ def write_shards(docs: DataFrame, out: str, model_path: str, length: int = LENGT
         for b in batches:
             for part, at, n, ids in zip(*(b.column(c).to_pylist() for c in ("part", "at", "n", "ids")), strict=True):
                 first = begun.value[part] + at
+                ids = unsqueezed(ids, width)
                 edges = np.arange(first // length + 1, (first + n - 1) // length + 1) * length
                 starts = np.concatenate((np.array([first]), edges))
                 stops = np.concatenate((edges, np.array([first + n])))
                 numbers = starts // length
-                pieces = [ids[(s - first) * width : (e - first) * width] for s, e in zip(starts.tolist(), stops.tolist(), strict=True)]
+                pieces = [squeezed(ids[(s - first) * width : (e - first) * width], width) for s, e in zip(starts.tolist(), stops.tolist(), strict=True)]
                 slot = slots(numbers, count, key)
                 yield pa.RecordBatch.from_arrays([pa.array(slot // rows), pa.array(slot), pa.array(numbers), pa.array((starts % length).astype(np.int32)), pa.array(pieces, pa.binary())], names=["shard", "slot", "sequence", "at", "ids"])
 
@@ -123,7 +134,7 @@ def write_shards(docs: DataFrame, out: str, model_path: str, length: int = LENGT
                 store.move(f"{base}/_attempt-{attempt}-{shard:08d}", f"{base}/shard-{shard:08d}.bin")
 
         def finished() -> tuple:
-            slot, number, own = held[0], held[1], b"".join(held[2])
+            slot, number, own = held[0], held[1], b"".join(unsqueezed(x, width) for x in held[2])
             whole = own + fill[len(own) :]
             if len(whole) != length * width or (len(own) < len(whole) and number != count - 1):
                 raise ValueError(f"sequence {number} has {len(own) // width} ids")
