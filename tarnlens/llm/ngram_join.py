@@ -7,10 +7,11 @@ often enough; those that reach the required overlap are links.
 To bring together what can be linked at all, without all pairs:
 
 1. Equal sets are one class, represented by its smallest id.
-2. Linked sets share one shingle at least of their prefixes: of the |A| - T + 1 rarest of A, T being the overlap that
-   any link needs. Any one order of all shingles keeps this exact; rarity comes from counters of a fixed number, filled
-   from all documents, so a passage that very many documents hold is in no prefix. Sets that share a prefix shingle form
-   candidate groups.
+2. Sets within the threshold differ in few shingles. If shingles are dealt into more parts than can differ, one part at
+   least is equal in both (the pigeonhole principle), so each non-empty part is a signature. The size bands and the
+   catch-all for sets with very many empty parts keep this exact. Very common shingles, by counters of a fixed number that
+   all documents fill, are left out of the parts, so a passage that very many documents hold brings none of them together.
+   Sets that share signatures form candidate groups.
 3. A group is searched in chunks of bounded size. A pair that is known to be connected isn't searched again. Chunks are
    joined by one representative of each component found; then every set outside its group's largest component is searched
    against all chunks, in blocks. So no link between components is lost, and no group meets in one task.
@@ -39,6 +40,8 @@ CHUNK_SETS, CHUNK_SHINGLES = 64, 1 << 20
 LOWEST = -(2**63)
 #: Counters of shingles, a power of two, and the pieces that they are added up in.
 COUNTERS, SEGMENTS = 1 << 19, 32
+#: Times the mean count from which on a shingle is very common.
+COMMON = 8
 
 
 def shingle_set(text: str | None, n: int) -> np.ndarray:
@@ -51,10 +54,11 @@ def shingle_set(text: str | None, n: int) -> np.ndarray:
 
 
 class Threshold:
-    """A Jaccard threshold of percent / 100."""
+    """A Jaccard threshold of percent / 100, and the size bands that go with it."""
 
     def __init__(self, percent: int):
         self.percent = percent
+        self.ends = [0]
 
     def linked(self, a: int, b: int, common_size: int) -> bool:
         return 100 * common_size >= self.percent * (a + b - common_size)
@@ -66,13 +70,56 @@ class Threshold:
     def fits(self, a: int, b: int) -> bool:
         return 100 * min(a, b) >= self.percent * max(a, b)
 
-
-def prefix(s: np.ndarray, counters: np.ndarray, threshold: Threshold) -> np.ndarray:
-    """The rarest shingles of a set, as many as linked sets must share one of."""
-    n = len(s) - threshold.least_overlap(len(s)) + 1
+    def band(self, size: int) -> int:
+        """Band t holds the sizes from ends[t] + 1 to ends[t + 1]; linked sizes are in one band or in neighbours."""
+        while self.ends[-1] < size:
+            self.ends.append((self.ends[-1] + 1) * 100 // self.percent)
+        low = 0
+        high = len(self.ends) - 1
+        while low < high:
+            mid = (low + high) // 2
+            if self.ends[mid] < size:
+                low = mid + 1
+            else:
+                high = mid
+        return low - 1
+
+    def parts(self, band: int) -> tuple[int, int]:
+        """Into how many parts a band's sets are dealt, and how many of them at least are equal in linked sets."""
+        low, high = self.ends[band] + 1, self.ends[band + 1]
+        differ = high * (100 - self.percent) // self.percent
+        if not differ:
+            return 1, 1
+        spare = 1
+        for _ in range(3):
+            empty = (differ + spare) * math.exp(-low / (differ + spare))
+            spare = int(empty + 6 * math.sqrt(empty)) + 3
+        return differ + spare, spare
+
+
+def signatures(s: np.ndarray, threshold: Threshold, common_ones: np.ndarray | None = None) -> np.ndarray:
+    """Hashes such that linked sets have one in common at least.
+
+    Shingles that common_ones (flags by counter) marks are left out of the parts: sets differ no more in what is left.
+    """
     if not len(s):
         return np.zeros(0, np.int64)
-    return s[np.lexsort((s, counters[_counter(s)]))[:n]].view(np.int64)
+    own = threshold.band(len(s))
+    if common_ones is not None:
+        s = s[~common_ones[_counter(s)]]
+    out = []
+    for band in (own, own - 1) if own else (own,):
+        k, spare = threshold.parts(band)
+        part = (mix(s + np.uint64(band + 1)) >> np.uint64(32)).astype(np.int64) % k
+        order = np.argsort(part, kind="stable")
+        dealt = part[order]
+        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(s)), bool), dealt[1:] != dealt[:-1])))
+        if len(first):
+            content = np.add.reduceat(mix(s[order] ^ np.uint64(0xA0761D6478BD642F)), first)
+            out.append(mix(content + mix(dealt[first].astype(np.uint64) + np.uint64((band + 1) << 32))))
+        if k - len(first) >= spare:
+            out.append(mix(np.array([(band + 1) << 32 | 0xFFFFFFFF], np.uint64)))
+    return np.concatenate(out).view(np.int64)
 
 
 def _counter(s: np.ndarray) -> np.ndarray:
@@ -217,19 +264,19 @@ def shingle_counters(parts: DataFrame) -> np.ndarray:
     return np.minimum(total.ravel(), 2**31 - 1).astype(np.int32)
 
 
-def _prefixed(n: int, percent: int, counters):
+def _signed(n: int, percent: int, common_ones):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         threshold = Threshold(percent)
         for b in batches:
-            found = [prefix(shingle_set(t, n), counters.value, threshold) for t in b.column("text").to_pylist()]
+            found = [signatures(shingle_set(t, n), threshold, common_ones.value) for t in b.column("text").to_pylist()]
             took = np.repeat(np.arange(b.num_rows), [len(f) for f in found])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)), b.column("id").take(pa.array(took))], names=["shingle", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)), b.column("id").take(pa.array(took))], names=["signature", "id"])
 
     return run
 
 
 def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A set and the leads of its prefix shingles are connected if each is connected to the next: most of those pairs are the same for many sets."""
+    """A set and the leads of its signatures are connected if each is connected to the next: most of those pairs are the same for many sets."""
     seen: set[tuple[int, int]] = set()
     for b in batches:
         for own, leads in zip(b.column("id").to_pylist(), b.column("leads").to_pylist(), strict=True):
@@ -268,16 +315,17 @@ def link_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     source = docs.select(F.coalesce(F.col(id_col).cast("bigint"), lowest).alias("id"), F.col(text_col).alias("text"))
     scanned = common.settled(common.arrow_map(source, _sized(n), "id bigint, n_shingles bigint, digest binary, counts binary"), "sized")
     sized = scanned.filter("digest IS NOT NULL").drop("counts")
-    counters = docs.sparkSession.sparkContext.broadcast(shingle_counters(scanned.filter("digest IS NULL")))
+    counters = shingle_counters(scanned.filter("digest IS NULL"))
+    common_ones = docs.sparkSession.sparkContext.broadcast(counters > COMMON * max(1.0, float(counters.mean())))
     classes = common.settled(sized.filter("n_shingles > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.max("n_shingles").alias("size")), "classes")
 
-    # candidate groups: sets that share a prefix shingle are led to the smallest of them; of equal sets one takes part
+    # candidate groups: sets that share a signature are led to the smallest of them; of equal sets one takes part
     reps = classes.select(F.col("rep").alias("id")).distinct()
     copies = sized.join(classes, "digest").filter("id <> rep").select("id").distinct().join(reps, "id", "left_anti")
     first_of_each = source.join(common.settled(copies, "copies"), "id", "left_anti")
-    listed = common.arrow_map(first_of_each, _prefixed(n, percent, counters), "shingle bigint, id bigint")
-    shared = common.settled(listed.groupBy("shingle").agg(F.min("id").alias("lead"), F.max("id").alias("last")).filter("last > lead").select("shingle", "lead"), "shared")
-    led = listed.join(shared, "shingle").filter("id <> lead").groupBy("id").agg(F.collect_set("lead").alias("leads"))
+    signed = common.arrow_map(first_of_each, _signed(n, percent, common_ones), "signature bigint, id bigint")
+    shared = common.settled(signed.groupBy("signature").agg(F.min("id").alias("lead"), F.max("id").alias("last")).filter("last > lead").select("signature", "lead"), "shared")
+    led = signed.join(shared, "signature").filter("id <> lead").groupBy("id").agg(F.collect_set("lead").alias("leads"))
     groups = components(common.arrow_map(led, _chained, "a bigint, b bigint"))
     told = groups.select(F.col("node").alias("id"), F.col("label").alias("part"))
     sets = common.arrow_map(source.join(told, "id").select("id", "text", "part"), _shingled(n), "id bigint, part bigint, size bigint, shingles binary")

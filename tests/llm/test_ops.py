@@ -158,17 +158,18 @@ def test_ngram_join_defined_cases(docs, rows, empty, doubled):
 
 
 @pytest.mark.parametrize("percent", [50, 80, 90, 95])
-def test_linked_sets_share_a_prefix_shingle(percent):
+def test_linked_sets_share_a_signature(percent):
     r = np.random.default_rng(percent)
     t = ngram_join.Threshold(percent)
-    counters = r.integers(0, 5, ngram_join.COUNTERS)
+    flags = r.integers(0, 5, ngram_join.COUNTERS) == 0
     for size in (1, 2, 9, 10, 25, 100, 700):
         for _ in range(20):
             a = np.unique(r.integers(0, 1 << 63, size, dtype=np.uint64))
             keep = a[r.permutation(len(a))[: t.least_overlap(len(a))]]
             b = np.unique(np.concatenate((keep, r.integers(0, 1 << 63, int(r.integers(0, len(a) // 4 + 1)), dtype=np.uint64))))
             if t.linked(len(a), len(b), len(np.intersect1d(a, b))):
-                assert set(ngram_join.prefix(a, counters, t).tolist()) & set(ngram_join.prefix(b, counters, t).tolist())
+                for common_ones in (None, flags, ~flags, flags | True):
+                    assert set(ngram_join.signatures(a, t, common_ones).tolist()) & set(ngram_join.signatures(b, t, common_ones).tolist())
 
 
 @pytest.mark.parametrize(("w", "k"), [(40, 32), (12, 5)])
