@@ -28,7 +28,8 @@ THRESHOLD = 0.7
 STEPS, RATE, L2, SWAP = 200, 0.25, 3e-5, 1.0
 #: A feature must differ by so many standard errors, and be in so many sampled documents.
 SCREEN, LEAST_DOCUMENTS = 5.0, 4
-KEPT_WORDS = 300_000
+#: Words remembered while scoring, and their longest; unspaced scripts have runs as long as a text, which hardly recur.
+KEPT_WORDS, KEPT_BYTES = 300_000, 64
 
 #: Terms that name groups, by kind; a parameter of fit().
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
@@ -45,10 +46,13 @@ IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
 
 
 def word_features(word: bytes) -> list[int]:
-    """Hashed features of one word: itself, its 5-grams and 4-gram prefix with marks at both ends."""
-    padded = b"<" + word[:64] + b">"
-    grams = {padded[i : i + 5] for i in range(len(padded) - 4)} if len(padded) > 5 else set()
-    return [zlib.crc32(g) % DIMENSIONS for g in (b"=" + word, *sorted(grams))]
+    """Hashed features of one word: itself and the 5-grams of all its bytes with marks at both ends.
+
+    A word of an unspaced script can be a whole text; its features are gathered as hashes, DIMENSIONS at most.
+    """
+    padded = b"<" + word + b">"
+    grams = {zlib.crc32(padded[i : i + 5]) % DIMENSIONS for i in range(len(padded) - 4)} if len(padded) > 5 else set()
+    return [zlib.crc32(b"=" + word) % DIMENSIONS, *sorted(grams)]
 
 
 def document_features(text: str | None) -> np.ndarray:
@@ -69,9 +73,11 @@ class Model:
         for w in set(common.letter_words(common.utf8(text))):
             live = kept.get(w)
             if live is None:
-                if len(kept) >= KEPT_WORDS:
-                    kept.clear()
-                live = kept[w] = tuple(f for f in word_features(w) if f in self.weights)
+                live = tuple(f for f in word_features(w) if f in self.weights)
+                if len(w) <= KEPT_BYTES:
+                    if len(kept) >= KEPT_WORDS:
+                        kept.clear()
+                    kept[w] = live
             if live:
                 found.update(live)
         return self.bias + sum(self.weights[f] for f in sorted(found))

@@ -118,6 +118,18 @@ def test_swaps():
     assert not toxicity.swaps(None) and not toxicity.swaps("no one named")
 
 
+def test_toxicity_of_unspaced_runs():
+    """An insult counts wherever it stands in a run, also after many bytes."""
+    rng = random.Random(3)
+    prose = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+    run = lambda toxic: prose(30) + "，" + ("你这个白痴" if toxic else prose(5)) + "，" + prose(20) + "。"
+    labels = np.array([i % 2 for i in range(200)], np.int64)
+    model = toxicity.train([toxicity.document_features(run(y)) for y in labels], labels, {})
+    assert all(model.score(run(True)) >= toxicity.THRESHOLD > model.score(run(False)) for _ in range(50))
+    assert model.score("你这个白痴" + prose(2000)) > 0.5 < model.score(prose(2000) + "你这个白痴")
+    assert all(len(w) <= toxicity.KEPT_BYTES for w in model.kept)
+
+
 def test_line_dedup(docs, rows, empty, doubled):
     got = by_id(line_dedup.dedup_lines(docs, carry=("lang",)))
     assert {i: (r.n_lines, r.n_dropped, r.kept_sha256) for i, r in got.items()} == brute.lines(texts(rows))
