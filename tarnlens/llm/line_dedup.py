@@ -32,23 +32,24 @@ def _code_points(key: bytes) -> int:
 
 
 def line_hashes(docs: DataFrame, min_code_points: int = MIN_CODE_POINTS) -> DataFrame:
-    """Rows (id, key, positions): the hash of each distinct key of a document that is long enough, and its lines."""
+    """Rows (id, th, key, positions): the hash of each distinct key of a document's row that is long enough, and its lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, keys, positions = [], [], []
-            for doc_id, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
+            ids, hashes, keys, positions = [], [], [], []
+            for doc_id, th, text in zip(b.column("id").to_pylist(), b.column("th").to_pylist(), b.column("text").to_pylist(), strict=True):
                 own: dict[bytes, list[int]] = {}
                 for i, line in enumerate(common.utf8(text).split(b"\n")):
                     key = line_key(line)
                     if len(key) >= min_code_points and _code_points(key) >= min_code_points:
                         own.setdefault(common.h128(key), []).append(i)
                 ids.extend([doc_id] * len(own))
+                hashes.extend([th] * len(own))
                 keys.extend(own.keys())
                 positions.extend(own.values())
-            yield common.batch(["id", "key", "positions"], [pa.int64(), pa.binary(), pa.list_(pa.int32())], [ids, keys, positions])
+            yield common.batch(["id", "th", "key", "positions"], [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32())], [ids, hashes, keys, positions])
 
-    return common.arrow_map(docs, run, "id bigint, key binary, positions array<int>")
+    return common.arrow_map(docs, run, "id bigint, th bigint, key binary, positions array<int>")
 
 
 def _reassemble(batches: Iterator[pa.RecordBatch], with_text: bool = True) -> Iterator[pa.RecordBatch]:
@@ -73,7 +74,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     to pass through; other columns are ignored, whatever their names. Without with_text, kept_text is null.
     """
     lowest = F.lit(-(2**63)).cast("bigint")
-    source = docs.select(F.coalesce(F.col(id_col).cast("bigint"), lowest).alias("id"), F.col(text_col).alias("text"))
+    source = docs.select(F.coalesce(F.col(id_col).cast("bigint"), lowest).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
     rows = line_hashes(source, min_code_points)
     # rows of one id come from one place as a rule; should an id repeat, its rows count once
     repeated = rows.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n"))
@@ -83,10 +84,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         repeated = rows.select("key", "id").distinct().groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs)
     # written first, so that both sides of the join are dealt by it alone and Spark can split a key with very many rows
     marked = rows.join(common.settled(repeated.select("key", "first"), "lines"), "key").filter(F.col("id") != F.col("first"))
-    dropped = marked.groupBy("id").agg(F.flatten(F.collect_list("positions")).alias("dropped"))
+    # th tells rows of one id apart: positions are those of one text
+    dropped = marked.groupBy("id", "th").agg(F.flatten(F.collect_list("positions")).alias("dropped"))
     kinds = dict(docs.dtypes)
-    texts = docs.select(F.coalesce(F.col(id_col).cast("bigint"), lowest).alias("_key"), F.col(id_col).alias("_id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)))
-    whole = texts.join(dropped.withColumnRenamed("id", "_key"), "_key", "left").drop("_key")
+    texts = docs.select(F.coalesce(F.col(id_col).cast("bigint"), lowest).alias("_key"), F.xxhash64(F.col(text_col)).alias("_th"), F.col(id_col).alias("_id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)))
+    whole = texts.join(dropped.select(F.col("id").alias("_key"), F.col("th").alias("_th"), "dropped"), ["_key", "_th"], "left").drop("_key", "_th")
     extra = "".join(f", _c{i} {kinds[c]}" for i, c in enumerate(carry))
     done = common.arrow_map(whole.select("_id", *(f"_c{i}" for i in range(len(carry))), "text", "dropped"), partial(_reassemble, with_text=with_text), f"_id {kinds[id_col]}{extra}, n_lines bigint, n_dropped bigint, kept_text string, kept_sha256 string")
     return done.select(F.col("_id").alias(id_col), "n_lines", "n_dropped", "kept_text", "kept_sha256", *(F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)))

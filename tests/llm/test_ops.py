@@ -139,6 +139,14 @@ def test_line_dedup(docs, rows, empty, doubled):
     assert line_dedup.dedup_lines(docs, min_docs=3).count() == len(rows)
 
 
+def test_line_dedup_of_repeated_ids(spark):
+    """Each row of a repeated id loses its own repeated lines, wherever the id's other rows have theirs."""
+    x, y = "a line that comes again", "another line that comes again"
+    table = [(1, f"{x}\n{y}"), (7, f"{x}\nthe first unique line"), (7, f"the second unique line\n{x}"), (7, f"the second unique line\n{x}"), (7, None), (None, f"the third unique line\n{y}"), (None, f"{y}\nthe fourth unique line")]
+    got = line_dedup.dedup_lines(spark.createDataFrame(table, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_dropped, r.kept_text) for r in got) == sorted([(1, 1, x), (7, 1, "the first unique line"), (7, 1, "the second unique line"), (7, 1, "the second unique line"), (7, 0, ""), (0, 0, table[5][1]), (0, 0, table[6][1])])
+
+
 @pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80), (1, 50)])
 def test_ngram_join(docs, rows, n, percent):
     sets = {i: brute.shingles(t, n) for i, t in texts(rows)}
