@@ -321,7 +321,8 @@ def link_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
 
     # candidate groups: sets that share a signature are led to the smallest of them; of equal sets one takes part
     reps = classes.select(F.col("rep").alias("id")).distinct()
-    copies = sized.join(classes, "digest").filter("id <> rep").select("id").distinct().join(reps, "id", "left_anti")
+    held = common.settled(sized.join(classes, "digest").filter("id <> rep").select("id", "rep"), "held")
+    copies = held.select("id").distinct().join(reps, "id", "left_anti")
     first_of_each = source.join(common.settled(copies, "copies"), "id", "left_anti")
     signed = common.arrow_map(first_of_each, _signed(n, percent, common_ones), "signature bigint, id bigint")
     shared = common.settled(signed.groupBy("signature").agg(F.min("id").alias("lead"), F.max("id").alias("last")).filter("last > lead").select("signature", "lead"), "shared")
@@ -354,9 +355,16 @@ def link_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
             met = index.select(*mine, F.lit(False).alias("asked")).unionByName(queries.select(*mine, F.lit(True).alias("asked")))
             third = common.settled(met.groupBy("part", "chunk", "block").applyInArrow(_across(percent), edge), "across")
             links = links.unionByName(third)
-    found = common.settled(components(links), "components").select(F.col("node").alias("rep"), "label")
+    # an id whose rows have different texts is one node: it ties their classes together
+    tied = held.unionByName(reps.join(held.select("id").distinct(), "id", "left_semi").select("id", F.col("id").alias("rep")))
+    apart = tied.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).filter("last > a").select("id", "a")
+    ties = tied.join(common.settled(apart, "apart"), "id").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    found = common.settled(components(links.unionByName(common.settled(ties, "ties"))), "components").select(F.col("node").alias("rep"), "label")
     class_of = common.settled(classes.select("digest", "rep").join(found, "rep", "left").select("digest", F.coalesce("label", "rep").alias("label")), "classes")
-    out = sized.join(class_of, "digest", "left").select("id", "n_shingles", F.coalesce("label", "id").alias("label"))
+    # a row without shingles is of the node that its id's other rows are
+    blank = sized.filter("n_shingles = 0").select("id").distinct()
+    others = common.settled(sized.filter("n_shingles > 0").join(blank, "id", "left_semi").join(class_of, "digest").groupBy("id").agg(F.min("label").alias("node")), "others")
+    out = sized.join(class_of, "digest", "left").join(others, "id", "left").select("id", "n_shingles", F.coalesce("label", "node", "id").alias("label"))
     bare = lambda c: F.when(F.col(c) != lowest, F.col(c))
     return out.select(bare("id").alias(id_col), "n_shingles", bare("label").alias("component_id"))
 

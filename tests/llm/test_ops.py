@@ -177,6 +177,14 @@ def test_ngram_join_defined_cases(docs, rows, empty, doubled):
     assert all(r.component_id is None for r in got if r.doc_id is None)
 
 
+def test_ngram_join_of_repeated_ids(spark):
+    """An id with two texts links the documents that each of them is like; its blank row is of the same node."""
+    one, two, far = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    table = [(1, one), (2, two), (9, one), (9, two), (9, ""), (5, two), (6, far), (6, far), (7, None)]
+    got = ngram_join.link_components(spark.createDataFrame(table, "doc_id bigint, text string"), 3, 90).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 1), (5, 1), (6, 6), (6, 6), (7, 7), (9, 1), (9, 1), (9, 1)]
+
+
 @pytest.mark.parametrize("percent", [50, 80, 90, 95])
 def test_linked_sets_share_a_signature(percent):
     r = np.random.default_rng(percent)
