@@ -30,10 +30,24 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by five-word shingles at 0.8 the one of the smallest id stays."""
-    found = ngram_join.link_components(docs, n=5, percent=80)
-    gone = found.filter("doc_id <> coalesce(component_id, doc_id) OR (component_id IS NULL AND doc_id IS NOT NULL)").select("doc_id").distinct()
-    return docs.join(common.settled(gone, "copies"), "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of rows linked by five-word shingles at 0.8 exactly one stays: the one of the smallest id.
+
+    Every row is a document of its own, also where ids are null or repeat. A null id comes before all others; of rows of
+    one id that of the smallest hash of its text stays, and of equal rows any one. Rows without shingles link with
+    nothing and all stay.
+    """
+    unsure = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR doc_id IS NULL")
+    if not unsure.limit(1).count():
+        found = ngram_join.link_components(docs, n=5, percent=80)
+        gone = found.filter("doc_id <> coalesce(component_id, doc_id) OR (component_id IS NULL AND doc_id IS NOT NULL)").select("doc_id")
+        return docs.join(common.settled(gone, "copies"), "doc_id", "left_anti").select(*docs.columns)
+    # numbers of rows stand in for ids; written, so that they are the same in every pass
+    rows = common.settled(docs.withColumn("_near_row", F.monotonically_increasing_id()), "rows")
+    found = ngram_join.link_components(rows, n=5, percent=80, id_col="_near_row").filter("n_shingles > 0").select("_near_row", "component_id")
+    placed = common.settled(rows.select("_near_row", F.struct("doc_id", F.xxhash64("text").alias("th"), "_near_row").alias("place")).join(found, "_near_row"), "placed")
+    first = common.settled(placed.groupBy("component_id").agg(F.min("place").alias("first")), "first")
+    gone = placed.join(first, "component_id").filter("_near_row <> first._near_row").select("_near_row")
+    return rows.join(common.settled(gone, "copies"), "_near_row", "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

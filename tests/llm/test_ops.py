@@ -185,6 +185,20 @@ def test_ngram_join_of_repeated_ids(spark):
     assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 1), (5, 1), (6, 6), (6, 6), (7, 7), (9, 1), (9, 1), (9, 1)]
 
 
+def test_pipeline_keeps_one_of_each_group(spark):
+    """Null and repeated ids: rows are documents of their own, and one of each group of copies stays."""
+    import corpus_pipeline
+
+    prose = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    a, b, c, d, e = map(prose, "abcde")
+    table = [(None, a), (None, a), (3, a), (4, b), (4, b), (5, c), (6, c), (6, d), (None, e), (8, ""), (8, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(table)], "doc_id bigint, text string, n int").repartition(3)
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    key = lambda x: (x[0] is not None, x[0] or 0, x[1] or "")
+    assert sorted([(r.doc_id, r.text) for r in got.collect()], key=key) == sorted([(None, a), (4, b), (5, c), (6, d), (None, e), (8, ""), (8, ""), (None, None)], key=key)
+
+
 @pytest.mark.parametrize("percent", [50, 80, 90, 95])
 def test_linked_sets_share_a_signature(percent):
     r = np.random.default_rng(percent)
