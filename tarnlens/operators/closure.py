@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -10,13 +11,13 @@ from pyspark.sql import functions as F
 from tarnlens.sources.tables import settled
 
 
-def fixpoint(seed: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], keys: list[str], max_rounds: int = 64) -> DataFrame:
-    """Add what step(delta, all) derives until nothing is new by `keys`, or max_rounds are done.
+def fixpoint(seed: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], keys: list[str], max_rounds: int | None = 64) -> DataFrame:
+    """Add what step(delta, all) derives until nothing is new by `keys`, or max_rounds are done; None is no bound.
 
     Every round is written to the shared folder, so a plan never grows with the number of rounds.
     """
     everything = delta = settled(seed.dropDuplicates(keys), "seed")
-    for _ in range(max_rounds):
+    for _ in itertools.count() if max_rounds is None else range(max_rounds):
         new = settled(step(delta, everything).dropDuplicates(keys).join(everything.select(*keys), keys, "left_anti"), "delta")
         if new.isEmpty():
             break

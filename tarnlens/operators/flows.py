@@ -127,8 +127,11 @@ def resolved_calls(table: DataFrame) -> DataFrame:
     return rows.withColumn("callee", meant).filter("callee IS NOT NULL")
 
 
-def cross_method_findings(files: DataFrame, max_rounds: int = 16) -> DataFrame:
-    """(file, type, line, function, sink, confidence, call_chain): sources that reach a sink in another method."""
+def cross_method_findings(files: DataFrame) -> DataFrame:
+    """(file, type, line, function, sink, confidence, call_chain): sources that reach a sink in another method.
+
+    A round adds one call level. Summaries are finite by key and only added, so the rounds end, however long a chain is.
+    """
     from tarnlens.sources.tables import settled
 
     table = settled(fact_table(files), "facts")
@@ -141,7 +144,7 @@ def cross_method_findings(files: DataFrame, max_rounds: int = 16) -> DataFrame:
         up = calls_.filter("pos >= 0").join(at, ["callee", "target", "target_arity", "target_pos"])
         return up.select("kind", "class", "method", "arity", "pos", "sink", F.concat(F.array(F.concat_ws(".", "class", "method")), "chain").alias("chain"))
 
-    summaries = closure.fixpoint(seed, step, key, max_rounds)
+    summaries = closure.fixpoint(seed, step, key, max_rounds=None)
     at = summaries.select("kind", F.col("class").alias("callee"), F.col("method").alias("target"), F.col("arity").alias("target_arity"), F.col("pos").alias("target_pos"), "sink", "chain")
     hits = calls_.filter("origin = 'source'").join(at, ["callee", "target", "target_arity", "target_pos"])
     fn = F.concat_ws(".", "class", "method")

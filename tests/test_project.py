@@ -38,6 +38,14 @@ def test_flows_across_files(spark):
     ]
 
 
+def test_flows_through_long_chains(spark):
+    """A sink twenty calls below its source, and calls that go round in a circle."""
+    links = "\n".join(f"void m{i}(String a) {{ m{i + 1}(a); }}" for i in range(1, 20))
+    chain = "class Chain {\n void in(@RequestParam String q) { m1(q); }\n" + links + "\n void m20(String a) { Runtime.getRuntime().exec(a); m1(a); }\n}"
+    (found,) = flows.cross_method_findings(spark.createDataFrame([("Chain.java", chain)], "file string, content string")).collect()
+    assert found.function == "Chain.in" and list(found.call_chain[:-1]) == ["Chain.in", *(f"Chain.m{i}" for i in range(1, 21))]
+
+
 def test_store(spark, tmp_path):
     store = ResultStore(spark, str(tmp_path / "results"))
     assert store.list_results(1).count() == 0
