@@ -198,9 +198,10 @@ def _digest(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
     for b in batches:
         out = [], [], [], []
         for text in b.column("text").to_pylist():
-            e = enc.encode(text, spans=False)
+            e = enc.encode(text)
             shown = ",".join([enc.decimal[i] for i in e.ids])
-            for column, value in zip(out, (len(e.ids), sha(shown), sha(enc.decode(e.ids)), e.covered), strict=True):
+            covered = sum(map(int.__sub__, e.ends, [0, *e.ends[:-1]]))
+            for column, value in zip(out, (len(e.ids), sha(shown), sha(enc.decode(e.ids)), covered), strict=True):
                 column.append(value)
         yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True))], names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes"])
 

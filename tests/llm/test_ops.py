@@ -274,6 +274,18 @@ def test_pieces(docs, rows, empty, doubled):
     assert pieces.round_trip(empty, PIECE).count() == 0 and pieces.round_trip(doubled, PIECE).count() == len(rows) + 8
 
 
+def test_digests_come_from_spans(monkeypatch):
+    """Operator 8's digests build every piece's span, and covered_bytes is what the spans cover."""
+    import pyarrow as pa
+
+    made, encode = [], pieces.Encoder.encode
+    monkeypatch.setattr(pieces.Encoder, "encode", lambda *a, **k: made.append(encode(*a, **k)) or made[-1])
+    some = ["Two words", "Zwei Wörter, 🙂", "a▁mark", "", None]
+    (out,) = pieces._digest(iter([pa.RecordBatch.from_arrays([pa.array(range(5), pa.int64()), pa.array(some)], names=["id", "text"])]), PIECE)
+    assert all(len(e.ends) == len(e.ids) for e in made) and len(made) == 5
+    assert out.column("covered_bytes").to_pylist() == [len((t or "").encode()) for t in some]
+
+
 def test_character_map():
     """A map with keys ab -> x and a -> (blank), as a double array made by hand."""
     enc = pieces.Encoder(PIECE)
