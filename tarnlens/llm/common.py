@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: ASCII white space, the set `[\x20\x09-\x0D]`; `bytes.split()` and `bytes.strip()` use just this set.
 SPACE = " \t\n\x0b\x0c\r"
 
-#: Rows to an Arrow batch: some MB of ordinary documents, and still bounded when every document is a megabyte.
-BATCH_ROWS = 512
+#: Rows and bytes to an Arrow batch, whichever is reached first: a batch of long documents has fewer of them.
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,10 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. In local mode, where all is one machine, one of
+    our own where that is unset; on a cluster it has to be set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     own = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     spark.sparkContext.setCheckpointDir(own)
     return own
@@ -47,20 +54,36 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Removes a write's shuffle files as soon as it has ended; what reads the written table needs none of them.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settled(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage is cut, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    # shuffle files go once the driver's JVM has collected what refers to them
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.tarnlens_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Remove the files of settled tables that nothing reads any more."""
+    for t in tables:
+        _remove(t.sparkSession, t.tarnlens_path)
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch size to BATCH_ROWS, so that a batch of very long texts fits a worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Lower the session's Arrow batches to BATCH_ROWS and BATCH_BYTES, so that a batch of very long texts fits a worker."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if not 0 < int(spark.conf.get(key).rstrip("b")) <= most:
+            spark.conf.set(key, str(most))
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -82,6 +105,43 @@ def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
+def digests(raw: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128-bit content hashes of some ranges of bytes, two 64-bit numbers each."""
+    one = xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join([one(raw[b:e]) for b, e in zip(begin.tolist(), end.tolist(), strict=True)]), np.int64).reshape(-1, 2)
+
+
+class WordCodes(dict):
+    """A 64-bit code for each word's bytes; short words are remembered, a bounded number of them."""
+
+    KEPT, KEPT_BYTES = 100_000, 64
+
+    def __missing__(self, word: bytes) -> int:
+        code = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= self.KEPT_BYTES:
+            if len(self) >= self.KEPT:
+                self.clear()
+            self[word] = code
+        return code
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+#: One to a worker.
+WORD_CODES = WordCodes()
+
+#: Stands for a null id: it comes before all others, and an integer id can't be this number itself.
+NO_ID = -(2**63)
+
+
+def integer_id(df: DataFrame, id_col: str):
+    """The id as a bigint, null as NO_ID. Operators that speak of the smallest id take integer ids only."""
+    if not isinstance(df.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} must be of an integer type, not {df.schema[id_col].dataType.simpleString()}: the operator orders documents by it")
+    return F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID).cast("bigint"))
+
+
 def _letters_table(keep: Callable[[int], bool]) -> bytes:
     return bytes((b + 32 if 65 <= b <= 90 else b) if keep(b) else 32 for b in range(256))
 

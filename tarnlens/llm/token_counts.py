@@ -23,8 +23,8 @@ from . import common
 
 HEAD_ROWS = 100_000
 HEAD_BYTES = 48
-#: Distinct pre-tokens that a task holds before it hands them on.
-FLUSH = 50_000
+#: Distinct pre-tokens that a task holds before it hands them on, and bytes of texts with long ones (over LONG on average).
+FLUSH, FLUSH_BYTES, LONG = 120_000, 4 << 20, 64
 
 
 def _load(path: str):
@@ -37,16 +37,21 @@ def _load(path: str):
 
 def _pretokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: Counter[bytes] = Counter()
+    size = 0
 
     def out() -> pa.RecordBatch:
         return common.batch(["word", "docs"], [pa.binary(), pa.int64()], [list(held.keys()), list(held.values())])
 
     for b in batches:
         for text in b.column("text").to_pylist():
-            held.update(set(common.utf8(text).split()))
-            if len(held) > FLUSH:
+            data = common.utf8(text)
+            words = set(data.split())
+            size += len(data) if len(data) > LONG * len(words) else 0
+            held.update(words)
+            if len(held) > FLUSH or size > FLUSH_BYTES:
                 yield out()
                 held.clear()
+                size = 0
     yield out()
 
 
@@ -73,43 +78,48 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     """Rows (doc_id, n_bytes, n_tokens), one per input row.
 
     Null and empty texts have 0 bytes and 0 tokens. Rows that repeat an id, or whose id is null, are counted each by
-    itself. Very long pre-tokens take the shuffled arm. Other columns of the input are ignored. An empty table gives an
-    empty result. Special strings inside a text count as the tokenizer counts them by default.
+    itself; ids may be of any type. Very long pre-tokens take the shuffled arm. Other columns of the input are ignored.
+    An empty table gives an empty result. Special strings inside a text count as the tokenizer counts them by default.
     """
     spark = docs.sparkSession
+    kind = dict(docs.dtypes)[id_col]
     vocabulary = piece_vocabulary(docs, tokenizer_path, text_col)
     head = vocabulary.filter(F.length("word") <= HEAD_BYTES).orderBy(F.desc("docs"), "word").limit(HEAD_ROWS).select("word", "pieces")
     known = spark.sparkContext.broadcast({bytes(r.word): r.pieces for r in head.toLocalIterator()})
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each pre-token beyond the head, and one for the input row itself: its key meets no pre-token, as \\xff
+        is in no UTF-8 text, and spreads the rows."""
         from pyspark import TaskContext
 
         pieces, row = known.value, TaskContext.get().partitionId() << 40
         for b in batches:
-            rows, ids, sizes, sums, keys, counts = [], [], [], [], [], []
-            for doc_id, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
+            rows, keys, counts, took, sizes = [], [], [], [], []
+            for i, text in enumerate(b.column("text").to_pylist()):
                 row += 1
                 data = common.utf8(text)
-                total, rest = 0, []
+                total = 0
                 for w, n in Counter(data.split()).items():
                     k = pieces.get(w)
                     if k is None:
-                        rest.append((w, n))
+                        rows.append(row)
+                        keys.append(w)
+                        counts.append(n)
+                        took.append(None)
+                        sizes.append(None)
                     else:
                         total += k * n
-                # \xff is in no UTF-8 text: this key meets no pre-token, and spreads the rows
-                for w, n in [(b"\xff%d" % row, 0), *rest]:
-                    rows.append(row)
-                    ids.append(doc_id)
-                    keys.append(w)
-                    counts.append(n)
-                    sizes.append(None if n else len(data))
-                    sums.append(None if n else total)
-            yield common.batch(["row", "id", "n_bytes", "head", "word", "n"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32()], [rows, ids, sizes, sums, keys, counts])
-
-    parts = common.arrow_map(docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")), split, "row bigint, id bigint, n_bytes bigint, head bigint, word binary, n int")
+                rows.append(row)
+                keys.append(b"\xff%d" % row)
+                counts.append(total)
+                took.append(i)
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(sizes, pa.int64()), b.column("id").take(pa.array(took, pa.int32()))], names=["row", "word", "n", "n_bytes", "id"])
+
+    parts = common.arrow_map(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), split, f"row bigint, word binary, n bigint, n_bytes bigint, id {kind}")
     joined = parts.join(vocabulary.select("word", "pieces"), "word", "left")
-    summed = joined.groupBy("row", "id").agg(F.max("n_bytes").alias("n_bytes"), (F.max("head") + F.sum(F.coalesce(F.col("pieces") * F.col("n").cast("bigint"), F.lit(0)))).alias("n_tokens"))
+    # an input row's own line has its sum over the head as n, and no pieces
+    summed = joined.groupBy("row").agg(F.first("id", ignorenulls=True).alias("id"), F.max("n_bytes").alias("n_bytes"), F.sum(F.coalesce("pieces", F.lit(1)) * F.col("n")).alias("n_tokens"))
     return summed.select(F.col("id").alias(id_col), "n_bytes", "n_tokens")
 
 
