@@ -70,11 +70,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A key found in min_docs documents or more loses its lines everywhere but in the document of the smallest id.
     A null or empty text is one empty line. Rows that repeat an id are one document for the count, and each row loses
-    the lines that its document loses; a null id counts as one document, smaller than all others. `carry` names columns
-    to pass through; other columns are ignored, whatever their names. Without with_text, kept_text is null.
+    the lines that its document loses; a null id counts as one document, smaller than all others. Ids are integers; other
+    types raise TypeError. `carry` names columns to pass through, which must not be named like a computed one; other
+    columns are ignored, whatever their names. Without with_text, kept_text is null.
     """
-    lowest = F.lit(-(2**63)).cast("bigint")
-    source = docs.select(F.coalesce(F.col(id_col).cast("bigint"), lowest).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
+    source = docs.select(common.integer_id(docs, id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
     rows = line_hashes(source, min_code_points)
     # rows of one id come from one place as a rule; should an id repeat, its rows count once
     repeated = rows.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n"))
@@ -87,7 +87,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # th tells rows of one id apart: positions are those of one text
     dropped = marked.groupBy("id", "th").agg(F.flatten(F.collect_list("positions")).alias("dropped"))
     kinds = dict(docs.dtypes)
-    texts = docs.select(F.coalesce(F.col(id_col).cast("bigint"), lowest).alias("_key"), F.xxhash64(F.col(text_col)).alias("_th"), F.col(id_col).alias("_id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)))
+    texts = docs.select(common.integer_id(docs, id_col).alias("_key"), F.xxhash64(F.col(text_col)).alias("_th"), F.col(id_col).alias("_id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)))
     whole = texts.join(dropped.select(F.col("id").alias("_key"), F.col("th").alias("_th"), "dropped"), ["_key", "_th"], "left").drop("_key", "_th")
     extra = "".join(f", _c{i} {kinds[c]}" for i, c in enumerate(carry))
     done = common.arrow_map(whole.select("_id", *(f"_c{i}" for i in range(len(carry))), "text", "dropped"), partial(_reassemble, with_text=with_text), f"_id {kinds[id_col]}{extra}, n_lines bigint, n_dropped bigint, kept_text string, kept_sha256 string")

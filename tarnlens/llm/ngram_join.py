@@ -32,12 +32,10 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import components
-from .substring_dedup import word_codes
-from .windows import Hashes, mix
+from .windows import mix
 
 #: Sets and shingles to a chunk.
 CHUNK_SETS, CHUNK_SHINGLES = 64, 1 << 20
-LOWEST = -(2**63)
 #: Counters of shingles, a power of two, and the pieces that they are added up in.
 COUNTERS, SEGMENTS = 1 << 19, 32
 #: Times the mean count from which on a shingle is very common.
@@ -46,11 +44,14 @@ COMMON = 8
 
 def shingle_set(text: str | None, n: int) -> np.ndarray:
     """Sorted hashes of the distinct n-word shingles; with fewer words the whole sequence is one."""
-    codes = word_codes(common.lower_ascii(common.utf8(text)))
+    codes = common.WORD_CODES.of(common.lower_ascii(common.utf8(text)).split())
     if not len(codes):
         return np.zeros(0, np.uint64)
     k = min(n, len(codes))
-    return np.unique(mix(Hashes(codes, 1).grams(k) + np.uint64(k)))
+    grams = np.full(len(codes) - k + 1, k, np.uint64)
+    for i in range(k):  # word after word is mixed in, so no two orders of the same words are alike
+        grams = mix(grams + codes[i : len(codes) - k + 1 + i])
+    return np.unique(grams)
 
 
 class Threshold:
@@ -309,10 +310,10 @@ def link_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     Two documents link when their sets of n-word shingles have a Jaccard similarity of percent / 100 or more; component_id
     is the smallest id reachable. Null, empty and blank texts have no shingles and link with nothing. Rows that repeat an
     id are one node, each with its own n_shingles. A null id comes before all others, as its component_id shows by being
-    null. Other columns are ignored, whatever their names; an empty table gives an empty result.
+    null. Ids are integers; other types raise TypeError. Other columns are ignored, whatever their names; an empty table
+    gives an empty result.
     """
-    lowest = F.lit(LOWEST).cast("bigint")
-    source = docs.select(F.coalesce(F.col(id_col).cast("bigint"), lowest).alias("id"), F.col(text_col).alias("text"))
+    source = docs.select(common.integer_id(docs, id_col).alias("id"), F.col(text_col).alias("text"))
     scanned = common.settled(common.arrow_map(source, _sized(n), "id bigint, n_shingles bigint, digest binary, counts binary"), "sized")
     sized = scanned.filter("digest IS NOT NULL").drop("counts")
     counters = shingle_counters(scanned.filter("digest IS NULL"))
@@ -365,7 +366,7 @@ def link_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     blank = sized.filter("n_shingles = 0").select("id").distinct()
     others = common.settled(sized.filter("n_shingles > 0").join(blank, "id", "left_semi").join(class_of, "digest").groupBy("id").agg(F.min("label").alias("node")), "others")
     out = sized.join(class_of, "digest", "left").join(others, "id", "left").select("id", "n_shingles", F.coalesce("label", "node", "id").alias("label"))
-    bare = lambda c: F.when(F.col(c) != lowest, F.col(c))
+    bare = lambda c: F.when(F.col(c) != common.NO_ID, F.col(c))
     return out.select(bare("id").alias(id_col), "n_shingles", bare("label").alias("component_id"))
 
 

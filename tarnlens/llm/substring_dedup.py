@@ -19,26 +19,14 @@ from . import common, windows
 
 WINDOW = 20
 GRAM = 10
-_SPACES = np.isin(np.arange(256), list(common.SPACE.encode()))
-_PIECE = 1 << 20
-
-
-def word_codes(data: bytes) -> np.ndarray:
-    """A 64-bit code for each word `[^\\x20\\x09-\\x0D]+`, from its bytes and its length."""
-    out, at = [], 0
-    while at < len(data):
-        end = at + _PIECE
-        while end < len(data) and not _SPACES[data[end]]:
-            end += 1
-        x = np.frombuffer(data[at:end], np.uint8)
-        inside = np.zeros(len(x) + 2, np.int8)
-        inside[1:-1] = ~_SPACES[x]
-        step = np.diff(inside)
-        start, stop = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-        codes = windows.Hashes(windows.BYTE_CODES[x], 0).ranges(start, stop)
-        out.append(windows.mix(codes + (stop - start).astype(np.uint64)))
-        at = end
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def word_units(data: bytes) -> windows.Units:
+    """The words `[^\\x20\\x09-\\x0D]+`; contents are compared as words joined by one blank."""
+    words = data.split()
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    end = np.cumsum(size + 1) - 1
+    return windows.Units(common.WORD_CODES.of(words), b" ".join(words), end - size, end)
 
 
 def _keep(window: int, with_text: bool):
@@ -64,13 +52,14 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id
     """Rows (doc_id, n_words, n_removed, kept_sha256, kept_text), one per input row.
 
     Null and empty texts have no words. A null id comes before all others. Rows that repeat an id are one document given
-    several times: what they hold at the same place isn't earlier in one than in the other. Other columns are ignored,
-    whatever their names; an empty table gives an empty result. Without with_text, kept_text is null.
+    several times: what they hold at the same place isn't earlier in one than in the other. Ids are integers; other types
+    raise TypeError. Other columns are ignored, whatever their names; an empty table gives an empty result. Without
+    with_text, kept_text is null.
     """
     source = windows.keyed(docs, id_col, text_col)
-    spans = windows.repeated_windows(source, word_codes, window, gram, keep_first=True)
+    spans = windows.repeated_windows(source, word_units, window, gram, keep_first=True)
     kind = dict(docs.dtypes)[id_col]
-    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(2**63)).cast("bigint")).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("_id"), common.integer_id(docs, id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
     whole = texts.join(spans, ["id", "th"], "left").select(F.col("_id").alias("id"), "text", "spans")
     return common.arrow_map(whole, _keep(window, with_text), f"id {kind}, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string").withColumnRenamed("id", id_col)
 

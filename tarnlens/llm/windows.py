@@ -9,12 +9,14 @@ equal anchors at equal places. Consecutive windows with one anchor at one place
 
 A round shuffles hashes and places only. Counts are pre-aggregated on the map side and the joins that mark the members are
 plain equi-joins, so a passage that a third of all documents hold is split by Spark instead of landing in one task.
-Blocks and windows are compared by an anchor and a content hash of independent bases, 128 bits together.
+Anchors are chosen by a rolling hash, which only brings blocks together; contents are compared by xxh3 of their bytes, 128
+bits, in which no structure of a text is known to collide.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +28,9 @@ from . import common
 #: Windows handled at once in a very long text.
 CHUNK = 1 << 17
 U = np.uint64
-_BASES = (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93)
-_INVERSES = tuple(pow(b, -1, 1 << 64) for b in _BASES)
-_tables: list[list[np.ndarray]] = [[np.ones(1, U)] * 2, [np.ones(1, U)] * 2]
+_BASE = 0x9FB21C651E98DF25
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_tables: list[np.ndarray] = [np.ones(1, U)] * 2
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -43,31 +45,39 @@ def mix(x: np.ndarray) -> np.ndarray:
 BYTE_CODES = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
 
 
-def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of a base and of its inverse, modulo 2^64."""
-    if len(_tables[which][0]) < n:
-        size = max(n, 1 << 16, min(2 * len(_tables[which][0]), CHUNK * 2))
-        for k, b in enumerate((_BASES[which], _INVERSES[which])):
-            x = np.full(size, U(b))
-            x[0] = 1
-            _tables[which][k] = np.multiply.accumulate(x)
-    return _tables[which][0], _tables[which][1]
+class Units(NamedTuple):
+    """A text as a sequence of units, words or bytes: a code for each, and where each lies in the bytes."""
+
+    codes: np.ndarray
+    raw: bytes
+    begin: np.ndarray | None = None
+    end: np.ndarray | None = None
 
+    def digests(self, first: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Content hashes of the units from first to before after, two 64-bit numbers each."""
+        if self.begin is None:
+            return common.digests(self.raw, first, after)
+        return common.digests(self.raw, self.begin[first], self.end[after - 1])
 
-class Hashes:
-    """Hashes of any range of a sequence of codes, from prefix sums."""
 
-    def __init__(self, codes: np.ndarray, which: int):
-        power, self.inverse = _powers(which, len(codes) + 1)
-        self.prefix = np.zeros(len(codes) + 1, U)
-        np.cumsum(codes * power[: len(codes)], out=self.prefix[1:])
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2^64."""
+    if len(_tables[0]) < n:
+        size = max(n, 1 << 16, min(2 * len(_tables[0]), CHUNK * 2))
+        for k, b in enumerate((_BASE, _INVERSE)):
+            x = np.full(size, U(b))
+            x[0] = 1
+            _tables[k] = np.multiply.accumulate(x)
+    return _tables[0], _tables[1]
 
-    def ranges(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return (self.prefix[ends] - self.prefix[starts]) * self.inverse[starts]
 
-    def grams(self, k: int) -> np.ndarray:
-        n = len(self.prefix) - k
-        return (self.prefix[k:] - self.prefix[:n]) * self.inverse[:n]
+def gram_hashes(codes: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each k consecutive codes, from prefix sums. It only chooses anchors: contents are never compared by it."""
+    power, inverse = _powers(len(codes) + 1)
+    prefix = np.zeros(len(codes) + 1, U)
+    np.cumsum(codes * power[: len(codes)], out=prefix[1:])
+    n = len(prefix) - k
+    return mix((prefix[k:] - prefix[:n]) * inverse[:n])
 
 
 def window_minima(x: np.ndarray, w: int) -> np.ndarray:
@@ -81,99 +91,96 @@ def window_minima(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
 
 
-def blocks(codes: np.ndarray, w: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def blocks(units: Units, w: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(anchor, content hash, first window, number of windows) of the blocks of one text, a chunk at a time."""
+    codes = units.codes
     for at in range(0, len(codes) - w + 1, CHUNK):
-        part = codes[at : at + CHUNK + w - 1]
-        grams = mix(Hashes(part, 0).grams(k))
+        grams = gram_hashes(codes[at : at + CHUNK + w - 1], k)
         anchors = window_minima(grams, w - k + 1)
         # the anchor is the rightmost smallest gram: an equal one that comes in begins a new block
         cut = np.flatnonzero((anchors[1:] != anchors[:-1]) | (grams[w - k + 1 :] == anchors[1:])) + 1
         start = np.concatenate((np.zeros(1, np.int64), cut))
         end = np.concatenate((cut, np.array([len(anchors)])))
-        yield anchors[start].view(np.int64), Hashes(part, 1).ranges(start, end + w - 1).view(np.int64), start + at, end - start
+        yield anchors[start].view(np.int64), units.digests(start + at, end + at + w - 1), start + at, end - start
 
 
-def window_hashes(codes: np.ndarray, w: int, start: int, n: int) -> np.ndarray:
-    return Hashes(codes[start : start + n + w - 1], 1).grams(w).view(np.int64)
+def _seed_rows(coder: Callable[[bytes], Units], w: int, k: int):
+    names = ["a", "c", "d", "id", "th", "start", "n"]
 
-
-def _seed_rows(coder: Callable[[bytes], np.ndarray], w: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[] for _ in range(4)]
+            out: list[list] = [[np.zeros(0, np.int64)], [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
             times = np.zeros(b.num_rows, np.int64)
             for i, text in enumerate(b.column("text").to_pylist()):
                 for part in blocks(coder(common.utf8(text)), w, k):
                     times[i] += len(part[0])
                     for column, value in zip(out, part, strict=True):
                         column.append(value)
-            a, c, s, n = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
+            a, content, s, n = (np.concatenate(x) for x in out)
             took = pa.array(np.repeat(np.arange(b.num_rows), times))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), b.column("id").take(took), b.column("th").take(took), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32))], names=["a", "c", "id", "th", "start", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(content[:, 0]), pa.array(content[:, 1]), b.column("id").take(took), b.column("th").take(took), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32))], names=names)
 
     return run
 
 
-def _window_rows(coder: Callable[[bytes], np.ndarray], w: int):
+def _window_rows(coder: Callable[[bytes], Units], w: int):
+    names = ["a", "c", "d", "id", "th", "pos", "need"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, text in enumerate(b.column("text").to_pylist()):
-                codes = coder(common.utf8(text))
+                units = coder(common.utf8(text))
                 found = b.column("blocks")[i].values
                 a, start, n, need = (found.field(f).to_numpy(zero_copy_only=False) for f in ("a", "start", "n", "need"))
-                hashes = [window_hashes(codes, w, s, m) for s, m in zip(start.tolist(), n.tolist(), strict=True)]
-                h = np.concatenate(hashes)
-                within = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-                one = pa.array([i]).take(pa.array(np.zeros(len(h), np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(a, n)), pa.array(h), b.column("id").take(one), b.column("th").take(one), pa.array((np.repeat(start, n) + within).astype(np.int32)), pa.array(np.repeat(need, n))], names=["a", "h", "id", "th", "pos", "need"])
+                pos = np.repeat(start.astype(np.int64), n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                content = units.digests(pos, pos + w)
+                one = pa.array([i]).take(pa.array(np.zeros(len(pos), np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(a, n)), pa.array(content[:, 0]), pa.array(content[:, 1]), b.column("id").take(one), b.column("th").take(one), pa.array(pos.astype(np.int32)), pa.array(np.repeat(need, n))], names=names)
 
     return run
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, th, text): th tells rows of one id apart, and equal rows of one id from no other."""
-    lowest = F.lit(-(2**63)).cast("bigint")
-    return docs.select(F.coalesce(F.col(id_col).cast("bigint"), lowest).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
+    return docs.select(common.integer_id(docs, id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
 
 
-def repeated_windows(source: DataFrame, coder: Callable[[bytes], np.ndarray], w: int, k: int, keep_first: bool) -> DataFrame:
+def repeated_windows(source: DataFrame, coder: Callable[[bytes], Units], w: int, k: int, keep_first: bool) -> DataFrame:
     """Rows (id, th, spans array<struct<start,n>>): runs of windows that occur again or, with keep_first, that occur
-    earlier (in a smaller id, or at a smaller start of the same id). source is keyed()."""
-    seeds = common.arrow_map(source, _seed_rows(coder, w, k), "a bigint, c bigint, id bigint, th bigint, start int, n int")
+    earlier (in a smaller id, or at a smaller start of the same id). source is keyed(). The result is a written table."""
+    seeds = common.arrow_map(source, _seed_rows(coder, w, k), "a bigint, c bigint, d bigint, id bigint, th bigint, start int, n int")
     # what is counted is written before it is joined: then both sides are dealt by the join alone, and Spark can split a hot key
     again = common.settled(seeds.groupBy("a").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("a"), "anchors")
     found = common.settled(seeds.join(again, "a"), "seeds")
+    common.dropped(again)
 
     # a place fits a long where ids and texts allow it; else a decimal of 38 digits orders the same way
     low, high, far = found.agg(F.min("id"), F.max("id"), F.max(F.col("start") + F.col("n"))).first()
     kind = "bigint" if low is None or (low >= 0 and high < 1 << 38 and far < 1 << 24) else "decimal(38,0)"
     place = lambda at: F.col("id").cast(kind) * F.lit(1 << 24 if kind == "bigint" else 1 << 31).cast(kind) + F.col(at).cast(kind)
 
-    found = found.withColumn("place", place("start"))
-    classes = common.settled(found.groupBy("a", "c").agg(F.count(F.lit(1)).alias("members"), F.min("place").alias("first")), "classes")
-    told = found.join(classes, ["a", "c"])
+    placed = found.withColumn("place", place("start"))
+    classes = common.settled(placed.groupBy("a", "c", "d").agg(F.count(F.lit(1)).alias("members"), F.min("place").alias("first")), "classes")
+    told = placed.join(classes, ["a", "c", "d"])
     if keep_first:
         covered = told.filter("place <> first").select("id", "th", "start", "n")
         several = common.settled(classes.groupBy("a").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("a"), "open")
         still = told.filter("place = first").join(several, "a").withColumn("need", F.lit(True))
     else:
         covered = told.filter("members > 1").select("id", "th", "start", "n")
-        lone = common.settled(classes.groupBy("a").agg(F.count(F.lit(1)).alias("m"), F.min("members").alias("least")).filter("m > 1 and least = 1").select("a"), "open")
-        still = told.filter("place = first").join(lone, "a").withColumn("need", F.col("members") == 1)
+        several = common.settled(classes.groupBy("a").agg(F.count(F.lit(1)).alias("m"), F.min("members").alias("least")).filter("m > 1 and least = 1").select("a"), "open")
+        still = told.filter("place = first").join(several, "a").withColumn("need", F.col("members") == 1)
     wanted = still.groupBy("id", "th").agg(F.collect_list(F.struct("a", "start", "n", "need")).alias("blocks"))
     texts = source.join(wanted, ["id", "th"]).select("id", "th", "text", "blocks")
-    single = common.settled(common.arrow_map(texts, _window_rows(coder, w), "a bigint, h bigint, id bigint, th bigint, pos int, need boolean"), "windows").withColumn("place", place("pos"))
-    if keep_first:
-        repeats = single.groupBy("a", "h").agg(F.count(F.lit(1)).alias("m"), F.min("place").alias("first")).filter("m > 1")
-        repeats = common.settled(repeats, "repeats")
-        more = single.join(repeats, ["a", "h"]).filter("place <> first")
-    else:
-        repeats = single.groupBy("a", "h").agg(F.count(F.lit(1)).alias("m"), F.max("need").alias("wanted")).filter("m > 1 and wanted").select("a", "h")
-        repeats = common.settled(repeats, "repeats")
-        more = single.filter("need").join(repeats, ["a", "h"])
+    single = common.settled(common.arrow_map(texts, _window_rows(coder, w), "a bigint, c bigint, d bigint, id bigint, th bigint, pos int, need boolean"), "windows")
+    windows = single.withColumn("place", place("pos"))
+    counted = windows.groupBy("a", "c", "d").agg(F.count(F.lit(1)).alias("m"), F.min("place").alias("first"), F.max("need").alias("wanted")).filter("m > 1 AND wanted")
+    repeats = common.settled(counted.select("a", "c", "d", "first"), "repeats")
+    more = windows.filter("need").join(repeats, ["a", "c", "d"]).filter("place <> first" if keep_first else "true")
     spans = covered.unionByName(more.select("id", "th", F.col("pos").alias("start"), F.lit(1).alias("n")))
-    return spans.groupBy("id", "th").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    done = common.settled(spans.groupBy("id", "th").agg(F.collect_list(F.struct("start", "n")).alias("spans")), "spans")
+    common.dropped(found, classes, several, single, repeats)
+    return done
 
 
 def coverage(length: int, start: np.ndarray, n: np.ndarray, w: int) -> np.ndarray:
