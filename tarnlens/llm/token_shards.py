@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,20 +54,21 @@ def slots(numbers: np.ndarray, total: int, key: int = KEY) -> np.ndarray:
 
 
 def _filesystem(uri: str):
+    """The store of a URI, and the path in it. A bare path names no store, so it is turned down."""
     from pyarrow import fs
 
-    if uri.startswith("file:/") and not uri.startswith("file://"):
-        uri = "file://" + uri[5:]
-    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+    if not re.match(r"\w[\w+.-]*:/", uri):
+        raise ValueError(f"{uri} has no scheme; shards go to a store that all executors reach, named by its URI")
+    return fs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if re.match("file:/[^/]", uri) else uri)
 
 
-def squeezed(ids: bytes, width: int) -> bytes:
-    """Ids on their way between stages: all low bytes, then all high bytes, compressed."""
-    return zstandard.compress(np.frombuffer(ids, np.uint8).reshape(-1, width).T.tobytes(), 3)
+def squeezed(ids: bytes, level: int = 3) -> bytes:
+    """Ids on their way between stages. As they stand they compress better than by byte planes: words come again."""
+    return zstandard.compress(ids, level)
 
 
-def unsqueezed(data: bytes, width: int) -> bytes:
-    return np.frombuffer(zstandard.decompress(data), np.uint8).reshape(width, -1).T.tobytes()
+def unsqueezed(data: bytes) -> bytes:
+    return zstandard.decompress(data)
 
 
 def _tokens(path: str, end_id: int):
@@ -78,7 +80,7 @@ def _tokens(path: str, end_id: int):
         end = end_id.to_bytes(width, "little")
         for b in batches:
             ids = enc.packed(b.column("text").to_pylist(), end)
-            yield common.batch(["part", "at", "n", "ids"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()], [[part], [at], [len(ids) // width], [squeezed(ids, width)]])
+            yield common.batch(["part", "at", "n", "ids"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()], [[part], [at], [len(ids) // width], [squeezed(ids, 6)]])
             at += len(ids) // width
 
     return run
@@ -109,12 +111,12 @@ def write_shards(docs: DataFrame, out: str, model_path: str, length: int = LENGT
         for b in batches:
             for part, at, n, ids in zip(*(b.column(c).to_pylist() for c in ("part", "at", "n", "ids")), strict=True):
                 first = begun.value[part] + at
-                ids = unsqueezed(ids, width)
+                ids = unsqueezed(ids)
                 edges = np.arange(first // length + 1, (first + n - 1) // length + 1) * length
                 starts = np.concatenate((np.array([first]), edges))
                 stops = np.concatenate((edges, np.array([first + n])))
                 numbers = starts // length
-                pieces = [squeezed(ids[(s - first) * width : (e - first) * width], width) for s, e in zip(starts.tolist(), stops.tolist(), strict=True)]
+                pieces = [squeezed(ids[(s - first) * width : (e - first) * width]) for s, e in zip(starts.tolist(), stops.tolist(), strict=True)]
                 slot = slots(numbers, count, key)
                 yield pa.RecordBatch.from_arrays([pa.array(slot // rows), pa.array(slot), pa.array(numbers), pa.array((starts % length).astype(np.int32)), pa.array(pieces, pa.binary())], names=["shard", "slot", "sequence", "at", "ids"])
 
@@ -134,7 +136,7 @@ def write_shards(docs: DataFrame, out: str, model_path: str, length: int = LENGT
                 store.move(f"{base}/_attempt-{attempt}-{shard:08d}", f"{base}/shard-{shard:08d}.bin")
 
         def finished() -> tuple:
-            slot, number, own = held[0], held[1], b"".join(unsqueezed(x, width) for x in held[2])
+            slot, number, own = held[0], held[1], b"".join(map(unsqueezed, held[2]))
             whole = own + fill[len(own) :]
             if len(whole) != length * width or (len(own) < len(whole) and number != count - 1):
                 raise ValueError(f"sequence {number} has {len(own) // width} ids")
@@ -164,8 +166,12 @@ def write_shards(docs: DataFrame, out: str, model_path: str, length: int = LENGT
 
     store, base = _filesystem(out)
     store.create_dir(base, recursive=True)
-    ordered = common.arrow_map(packed, cut, "shard bigint, slot bigint, sequence bigint, at int, ids binary").repartitionByRange(max(1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))), "shard").sortWithinPartitions("slot", "at")
+    # ranges of shards: their bounds are known, so nothing is sampled for them
+    parts = max(1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    sequences = common.arrow_map(packed, cut, "shard bigint, slot bigint, sequence bigint, at int, ids binary")
+    ordered = sequences.repartitionById(parts, F.floor(F.col("shard") * parts / max(1, shards)).cast("int")).sortWithinPartitions("slot", "at")
     index = common.settled(common.arrow_map(ordered, write, "slot bigint, shard bigint, byte_offset bigint, sequence bigint, n_tokens bigint, ids_sha256 string"), "index")
+    common.dropped(packed)
     with store.open_output_stream(f"{base}/index.json") as f:
         f.write(json.dumps({"sequences": count, "tokens": tokens, "length": length, "width": width, "rows_per_shard": rows, "shards": shards, "key": key, "end_id": end_id}).encode())
     return index
