@@ -13,20 +13,28 @@ from pyspark.sql import functions as F
 from tarnlens.llm import common, decontaminate, line_dedup, ngram_join, pieces, toxicity
 
 
+def _renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The documents with columns of names that no operator uses, so that none can clash with a computed one."""
+    names = {c: f"_d{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; it learns from labelled rows that aren't held out."""
+    own, names = _renamed(docs)
     model = toxicity.fit(docs, common.table(spark, sf_dir, "labels"))
-    rest = tuple(c for c in docs.columns if c != "doc_id")
-    return toxicity.score(docs, model, carry=rest).filter("predicted = 0").select(*docs.columns)
+    scored = toxicity.score(own, model, id_col=names["doc_id"], text_col=names["text"], carry=tuple(n for c, n in names.items() if c != "doc_id"))
+    return scored.filter("predicted = 0").select(*(F.col(n).alias(c) for c, n in names.items()))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go everywhere but in the document of the smallest id; n_chars follows the text."""
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    done = line_dedup.dedup_lines(docs, carry=rest).withColumn("text", F.col("kept_text"))
-    if "n_chars" in rest:
-        done = done.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return done.select(*docs.columns)
+    own, names = _renamed(docs)
+    done = line_dedup.dedup_lines(own, id_col=names["doc_id"], text_col=names["text"], carry=tuple(n for c, n in names.items() if c not in ("doc_id", "text")))
+    now = {"text": F.col("kept_text")}
+    if "n_chars" in names:
+        now["n_chars"] = F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)
+    return done.select(*(now.get(c, F.col(n)).alias(c) for c, n in names.items()))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,10 +59,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a twentieth or more lies in benchmark windows go."""
+    """Documents of which a twentieth or more lies in benchmark windows go, each row judged by its own text."""
+    own, names = _renamed(docs)
     found = decontaminate.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
-    gone = found.filter("contaminated").select("doc_id").distinct()
-    return docs.join(common.settled(gone, "leaks"), "doc_id", "left_anti").select(*docs.columns)
+    gone = common.settled(found.filter("contaminated").select("doc_id", "text_hash").distinct(), "leaks")
+    same = F.col(names["doc_id"]).eqNullSafe(gone["doc_id"]) & (F.xxhash64(names["text"]) == gone["text_hash"])
+    return own.join(gone, same, "left_anti").select(*(F.col(n).alias(c) for c, n in names.items()))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

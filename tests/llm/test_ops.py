@@ -48,6 +48,26 @@ def texts(rows):
     return [(r[0], r[1]) for r in rows]
 
 
+def twice(got, doubled, own, by_text=True):
+    """Rows that repeat or have no id have what a row of their text has; own(row) is what counts."""
+    of = {}
+    for r in got:
+        of.setdefault(r.doc_id, []).append(own(r))
+    texts_of = {}
+    for r in doubled.collect():
+        texts_of.setdefault(r.doc_id, []).append(r.text)
+    assert {i: len(x) for i, x in of.items()} == {i: len(x) for i, x in texts_of.items()}
+    if by_text:
+        want = {}
+        for i, found in of.items():
+            if i is not None and len(found) == 1:
+                want[texts_of[i][0]] = found[0]
+        for i, found in of.items():
+            known = [want[t] for t in texts_of[i] if t in want]
+            assert len(known) < len(found) or sorted(map(repr, found)) == sorted(map(repr, known))
+            assert i is None or len(set(map(repr, found))) == len(set(texts_of[i]))
+
+
 def test_token_counts(docs, rows, empty, doubled, monkeypatch):
     from tokenizers import Tokenizer
 
@@ -57,7 +77,22 @@ def test_token_counts(docs, rows, empty, doubled, monkeypatch):
         got = by_id(token_counts.count_tokens(docs, WORD))
         assert {i: (r.n_bytes, r.n_tokens) for i, r in got.items()} == {i: (len((t or "").encode()), len(tok.encode(t or "", add_special_tokens=False).ids)) for i, t in texts(rows)}
     assert token_counts.count_tokens(empty, WORD).count() == 0
-    assert token_counts.count_tokens(doubled, WORD).count() == len(rows) + 8
+    counted = token_counts.count_tokens(doubled, WORD).collect()
+    want = sorted((r.doc_id is not None, r.doc_id or 0, len((r.text or "").encode()), len(tok.encode(r.text or "", add_special_tokens=False).ids)) for r in doubled.collect())
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.n_bytes, r.n_tokens) for r in counted) == want
+    named = token_counts.count_tokens(docs.selectExpr("concat('d', doc_id) AS doc_id", "text"), WORD).collect()
+    assert {r.doc_id: r.n_tokens for r in named} == {f"d{i}": r.n_tokens for i, r in got.items()}
+
+
+def test_token_counts_over_many_partitions(docs, rows, spark):
+    """Row numbers of different partitions don't meet, and batches of very long texts are cut by their bytes."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(WORD)
+    long = [(1000 + i, " ".join(f"word{i}x{k % 977}" for k in range(90_000))) for i in range(8)]
+    table = docs.select("doc_id", "text").unionByName(spark.createDataFrame(long, "doc_id bigint, text string")).repartition(17)
+    got = by_id(token_counts.count_tokens(table, WORD))
+    assert {i: r.n_tokens for i, r in got.items()} == {i: len(tok.encode(t or "", add_special_tokens=False).ids) for i, t in [*texts(rows), *long]}
 
 
 def test_token_shards(spark, docs, rows, empty, tmp_path):
@@ -90,14 +125,18 @@ def test_slots_are_a_permutation(total):
     assert total < 17 or got.tolist() != token_shards.slots(np.arange(total), total, key=5).tolist()
 
 
-def test_toxicity(spark, docs, rows, empty, doubled):
+def rude_or_calm(spark):
     r = random.Random(3)
     calm, rude = ["tree", "river", "stone", "walks", "green", "quiet", "song", "table"], ["blarg", "grunk"]
     sentence = lambda bad: " ".join([r.choice(calm) for _ in range(20)] + ([r.choice(rude)] if bad else []))
     # the group's name comes mostly with rude words: without the penalty it would be evidence by itself
     made = [(i, sentence(i % 2) + (" muslim" if i % 2 and i % 4 == 1 else "")) for i in range(600)]
     table = spark.createDataFrame(made, "doc_id bigint, text string")
-    labels = spark.createDataFrame([(i, i % 2) for i, _ in made] + [(5, None), (None, 1), (9999, 1)], "doc_id bigint, toxic int")
+    return table, spark.createDataFrame([(i, i % 2) for i, _ in made] + [(5, None), (None, 1), (9999, 1)], "doc_id bigint, toxic int")
+
+
+def test_toxicity(spark, docs, rows, empty, doubled):
+    table, labels = rude_or_calm(spark)
     fair = toxicity.fit(table, labels, swap=20.0)
     plain = toxicity.fit(table, labels, swap=0.0)
     got = toxicity.score(table, fair).collect()
@@ -107,15 +146,38 @@ def test_toxicity(spark, docs, rows, empty, doubled):
     gap = lambda m: abs(m.margin("the muslim song") - m.margin("the hindu song"))
     assert gap(fair) < 0.5 * gap(plain)
     found = toxicity.score(doubled, fair).collect()
-    assert len(found) == len(rows) + 8 and all(0 <= x.score <= 1 for x in found)
+    want = sorted((r.doc_id is not None, r.doc_id or 0, fair.score(r.text)) for r in doubled.collect())
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.score) for r in found) == want
     assert toxicity.score(empty, fair).count() == 0
     none = toxicity.fit(table, labels.limit(0))
     assert none.score("anything") == 0.5 and none.score(None) == 0.5
+    assert toxicity.fit(table, labels.filter("toxic = 1")).score("anything") > 0.9
 
 
-def test_swaps():
-    assert (b"gay", b"straight") in toxicity.swaps("A gay man. Nothing else.")
-    assert not toxicity.swaps(None) and not toxicity.swaps("no one named")
+def test_the_penalty_changes_the_shipped_fit(spark):
+    """With the shipped weight and terms a neutral mention of a group is not evidence; other terms change nothing."""
+    table, labels = rude_or_calm(spark)
+    fair, plain, other = (toxicity.fit(table, labels, **k) for k in ({}, {"swap": 0.0}, {"terms": (("nobody", "noone"),)}))
+    mention = "a muslim song"
+    assert fair.weights != plain.weights and other.weights == plain.weights
+    assert fair.margin(mention) - fair.margin("a song") < 0.7 * (plain.margin(mention) - plain.margin("a song"))
+
+
+def test_the_sample_is_the_same_each_time(spark):
+    """Ties in the order of the sample are broken by the id, so two fits agree."""
+    table, labels = rude_or_calm(spark)
+    one, two = (toxicity.fit(t, labels.repartition(n), sample=(40, 60)) for n, t in ((2, table), (5, table.repartition(3))))
+    assert one.weights == two.weights and one.bias == two.bias
+
+
+def test_counterfactuals():
+    kinds = toxicity._kinds((("gay", "straight", "queer"), ("black", "white")))
+    found = [(b" ".join(x), b" ".join(y)) for x, y in toxicity.counterfactuals("A gay man, gay. Nothing else.\nBlack gay", kinds)]
+    assert found == [(b"a gay man gay", b"a straight man straight"), (b"a gay man gay", b"a queer man queer"), (b"black gay", b"white gay"), (b"black gay", b"black straight"), (b"black gay", b"black queer")]
+    assert not list(toxicity.counterfactuals(None, kinds)) and not list(toxicity.counterfactuals("no one named", kinds))
+    lost, gained = toxicity.change([b"a", b"gay", b"man"], [b"a", b"straight", b"man"])
+    assert set(lost) == set(toxicity.word_features(b"gay")) - set(gained) and not set(lost) & set(gained)
+    assert toxicity.change([b"gay", b"gays"], [b"straight", b"gays"])[0] == tuple(sorted(set(toxicity.word_features(b"gay")) - set(toxicity.word_features(b"gays")) - set(toxicity.word_features(b"straight"))))
 
 
 def test_toxicity_of_unspaced_runs():
@@ -135,7 +197,12 @@ def test_line_dedup(docs, rows, empty, doubled):
     assert {i: (r.n_lines, r.n_dropped, r.kept_sha256) for i, r in got.items()} == brute.lines(texts(rows))
     assert {r.lang for r in got.values()} == {"en"}
     assert line_dedup.dedup_lines(empty).count() == 0
-    assert line_dedup.dedup_lines(doubled).count() == len(rows) + 8
+    # a null id is a document before all others: it keeps its lines, and others lose what it has
+    again = line_dedup.dedup_lines(doubled).collect()
+    want = brute.lines([(-1 if r.doc_id is None else r.doc_id, r.text) for r in doubled.collect()])
+    assert len(again) == len(rows) + 8 and all((r.n_lines, r.n_dropped, r.kept_sha256) == want[r.doc_id] for r in again if r.doc_id is not None)
+    with pytest.raises(TypeError):
+        line_dedup.dedup_lines(docs, id_col="id")
     assert line_dedup.dedup_lines(docs, min_docs=3).count() == len(rows)
 
 
@@ -175,6 +242,29 @@ def test_ngram_join_defined_cases(docs, rows, empty, doubled):
     got = ngram_join.link_components(doubled, 3, 90).collect()
     assert len(got) == len(rows) + 8
     assert all(r.component_id is None for r in got if r.doc_id is None)
+    sets = {-1 if r.doc_id is None else r.doc_id: brute.shingles(r.text, 3) for r in doubled.collect() if r.doc_id is not None}
+    want = brute.components(sets, 90)
+    lone = {r.text for r in doubled.collect() if r.doc_id is None}
+    assert all(r.component_id == want[r.doc_id] for r in got if r.doc_id is not None and r.component_id is not None and not lone & {""})
+    with pytest.raises(TypeError):
+        ngram_join.link_components(doubled, id_col="id")
+
+
+def thue_morse(n: int, a: str, b: str) -> str:
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def test_words_of_regular_structure(spark):
+    """Two different words of 2,048 letters on which polynomials modulo 2^64 agree are neither linked nor removed."""
+    one, two = thue_morse(2048, "a", "b"), thue_morse(2048, "b", "a")
+    table = [(1, " ".join([one] * 30)), (2, " ".join([two] * 30)), (3, one), (4, two), (5, one)]
+    docs = spark.createDataFrame(table, "doc_id bigint, text string")
+    linked = by_id(ngram_join.link_components(docs, 3, 90))
+    assert {i: r.component_id for i, r in linked.items()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 3}
+    got = by_id(substring_dedup.dedup_substrings(docs))
+    assert {i: (r.n_words, r.n_removed, r.kept_sha256) for i, r in got.items()} == brute.word_repeats(table, 20)
+    got = by_id(repeated_bytes.remove_repeats(docs))
+    assert {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in got.items()} == brute.byte_repeats(table, 400)
 
 
 def test_ngram_join_of_repeated_ids(spark):
@@ -216,7 +306,8 @@ def test_linked_sets_share_a_signature(percent):
 
 @pytest.mark.parametrize(("w", "k"), [(40, 32), (12, 5)])
 def test_repeated_bytes(docs, rows, w, k):
-    got = by_id(repeated_bytes.remove_repeats(docs, window=w, gram=k))
+    got = by_id(repeated_bytes.remove_repeats(docs, window=w, gram=k, report=w // 2, report_gram=k // 2))
+    assert {i: r.n_repeated for i, r in got.items()} == {i: x[1] for i, x in brute.byte_repeats(texts(rows), w // 2).items()}
     assert {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in got.items()} == brute.byte_repeats(texts(rows), w)
 
 
@@ -229,18 +320,31 @@ def test_substring_dedup(docs, rows, w, k):
 def test_windows_in_chunks(docs, rows, monkeypatch):
     from tarnlens.llm import windows
 
-    codes = substring_dedup.word_codes(("a b c d e f g " * 50).encode())
-    whole = [x[0].tolist() for x in windows.blocks(codes, 20, 10)]
+    units = substring_dedup.word_units(("a b c d e f g " * 50).encode())
+    whole = [x[0].tolist() for x in windows.blocks(units, 20, 10)]
     monkeypatch.setattr(windows, "CHUNK", 37)
-    parts = list(windows.blocks(codes, 20, 10))
-    assert sum(int(p[3].sum()) for p in parts) == len(codes) - 19 and len(whole) == 1
+    parts = list(windows.blocks(units, 20, 10))
+    assert sum(int(p[3].sum()) for p in parts) == len(units.codes) - 19 and len(whole) == 1
     assert all(set(p[0].tolist()) <= set(whole[0]) for p in parts)
 
 
 def test_repeat_operators_defined_cases(empty, doubled, rows):
     assert repeated_bytes.remove_repeats(empty).count() == 0 and substring_dedup.dedup_substrings(empty).count() == 0
-    assert repeated_bytes.remove_repeats(doubled, 40, 32).count() == len(rows) + 8
+    table = doubled.collect()
+    # equal rows of one id: each occurs elsewhere too
+    starts = brute.byte_repeats([(n, r.text) for n, r in enumerate(table)], 40)
+    got = repeated_bytes.remove_repeats(doubled, 40, 32).collect()
+    key = lambda x: (x[0] is not None, x[0] or 0, *x[1:])
+    assert sorted(map(key, ((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got))) == sorted(map(key, ((r.doc_id, *starts[n]) for n, r in enumerate(table))))
+    # rows of one id are one document given several times, and a null id comes first
+    want = brute.word_repeats(sorted({(-1 if r.doc_id is None else r.doc_id, r.text) for r in table if r.doc_id is not None}, key=lambda x: x[0]), 20)
+    alone = doubled.filter("doc_id IS NOT NULL")
+    got = substring_dedup.dedup_substrings(alone, 20, 10).collect()
+    assert len(got) == alone.count() and all((r.n_words, r.n_removed, r.kept_sha256) == want[r.doc_id] for r in got)
     assert substring_dedup.dedup_substrings(doubled, 20, 10).count() == len(rows) + 8
+    for operator in (repeated_bytes.remove_repeats, substring_dedup.dedup_substrings):
+        with pytest.raises(TypeError):
+            operator(doubled, id_col="id")
 
 
 def test_decontamination(spark, docs, rows, empty, doubled):
@@ -249,13 +353,25 @@ def test_decontamination(spark, docs, rows, empty, doubled):
     words = lambda t: common.letter_words(common.utf8(t))
     named = [("null" if i is None else str(i), words(t)) for i, t in items]
     want = {i: decontaminate.brute_force(words(t), named) for i, t in texts(rows)}
-    for block in (8 << 20, 1500):  # with 64 bytes the items are in many blocks
-        got = by_id(decontaminate.decontaminate(docs, bench, block_bytes=block))
-        assert {i: (r.n_hit, sorted(r["items"])) for i, r in got.items()} == want
-        assert all(r.contaminated == (r.n_hit > 0 and 20 * r.n_hit >= r.n_words) for r in got.values())
+    got = by_id(decontaminate.decontaminate(docs, bench))
+    assert {i: (r.n_hit, sorted(r["items"])) for i, r in got.items()} == want
+    assert all(r.contaminated == (r.n_hit > 0 and 20 * r.n_hit >= r.n_words) for r in got.values())
     assert decontaminate.decontaminate(empty, bench).count() == 0
     assert decontaminate.decontaminate(docs, bench.limit(0)).filter("n_hit > 0").count() == 0
-    assert decontaminate.decontaminate(doubled, bench).count() == len(rows) + 8
+    again = decontaminate.decontaminate(doubled, bench).collect()
+    hits = {r.text: decontaminate.brute_force(words(r.text), named) for r in doubled.collect()}
+    key = lambda x: (x[0] is not None, x[0] or 0, x[1], x[2])
+    assert sorted(map(key, ((r.doc_id, r.n_hit, r["items"]) for r in again))) == sorted(map(key, ((r.doc_id, *hits[r.text]) for r in doubled.collect())))
+    by_name = decontaminate.decontaminate(docs.selectExpr("concat('d', doc_id) AS doc_id", "text"), bench).collect()
+    assert {r.doc_id: r.n_hit for r in by_name} == {f"d{i}": x[0] for i, x in want.items()}
+
+
+def test_word_filter(spark):
+    """The filter that executors make has every word of its set, and few others."""
+    own = [f"wört{i}" for i in range(2000)]
+    bits = decontaminate.filter_bits(spark.createDataFrame([(w,) for w in own], "word string"))
+    known = decontaminate.WordFilter(bits)
+    assert all(known[w.encode()] for w in own) and sum(known[f"x{i}".encode()] for i in range(20_000)) < 200
 
 
 def test_pieces(docs, rows, empty, doubled):
@@ -286,21 +402,53 @@ def test_digests_come_from_spans(monkeypatch):
     assert out.column("covered_bytes").to_pylist() == [len((t or "").encode()) for t in some]
 
 
-def test_character_map():
-    """A map with keys ab -> x and a -> (blank), as a double array made by hand."""
-    enc = pieces.Encoder(PIECE)
+@pytest.fixture(scope="module")
+def mapped_model(tmp_path_factory):
+    """The vocabulary of PIECE with a compiled character map of many keys, as the library compiles it."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(PIECE, "rb") as f:
+        model.ParseFromString(f.read())
+    rules = sentencepiece_model_pb2.ModelProto()
+    rules.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto())
+    model.normalizer_spec.precompiled_charsmap = rules.normalizer_spec.precompiled_charsmap
+    path = tmp_path_factory.mktemp("model") / "mapped.model"
+    path.write_bytes(model.SerializeToString())
+    return str(path)
 
-    class Mapped(pieces.CharacterMap):
-        def __init__(self):
-            super().__init__(b"")
-            self.units = [0]
 
-        def longest(self, data, at):
-            return (2, b"x") if data[at : at + 2] == b"ab" else (1, b" ") if data[at : at + 1] == b"a" else None
+SOME = ["ﬁne ① Ａｂ  x", "Å e\u0301 각", "㍿ and ㌀", "a\u200bb\tc\r\nd", "plain words", "ﷺ", "한국 ｶﾞ", "½ ² ™", " ", "x　y", "🙂 é", "▁ﬁ▁", "ﬃ" * 50]
+
+
+def test_character_map(mapped_model):
+    """Longest keys and their replacements in a compiled map, against the library's own normaliser."""
+    import sentencepiece
 
-    enc.map = Mapped()
-    text, align = enc.normalise("zabaé".encode())
-    assert text.decode() == "▁zx▁é" and align == [0, 0, 0, 0, 1, 3, 3, 3, 4, 5, 6]
+    enc = pieces.Encoder(mapped_model)
+    assert enc.map.longest("ﬁne".encode(), 0) == (3, b"fi") and enc.map.longest(b"plain", 0) is None
+    assert enc.map.longest(b"A\xcc\x8a", 0) == (3, "\u00c5".encode())  # a letter and its mark, where the letter alone is no key
+    norm = sentencepiece.SentencePieceNormalizer(model_file=mapped_model)
+    for t in SOME:
+        out, align = enc.normalise(t.encode())
+        assert out.decode() == norm.normalize(t)
+        assert len(align) == len(out) + 1 and align == sorted(align) and align[-1] == len(t.encode())
+
+
+def test_pieces_of_a_mapped_model(mapped_model):
+    """Ids are the library's, and every piece is projected to the source bytes that the library reports."""
+    import sentencepiece
+
+    enc, sp = pieces.Encoder(mapped_model), sentencepiece.SentencePieceProcessor(model_file=mapped_model)
+    assert not enc.plain
+    for t in [*SOME, " ".join(SOME)]:
+        e = enc.encode(t)
+        assert e.ids == sp.encode(t)
+        proto = sp.encode(t, return_type="proto")
+        for begin, end, p in zip([0, *e.ends[:-1]], e.ends, proto.pieces, strict=True):
+            if not sp.is_byte(p.id):
+                assert t.encode()[begin:end].decode(errors="ignore") == p.surface
 
 
 def test_ogg(docs, rows, empty, doubled):
@@ -370,4 +518,43 @@ def test_pipeline(spark, tmp_path, rows):
             words = lambda t: common.letter_words(common.utf8(t))
             hits = {i: decontaminate.brute_force(words(t), [("1", words(items[0][1]))])[0] for i, t in own}
             assert set(after) == {i for i, t in own if not (hits[i] and 20 * hits[i] >= len(words(t)))}
+        if name == "toxicity":
+            model = toxicity.fit(common.table(spark, str(tmp_path), "documents"), common.table(spark, str(tmp_path), "labels"))
+            assert set(after) == {i for i, t in own if model.score(t) < toxicity.THRESHOLD} < set(before)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(after)
+
+
+def test_pipeline_carries_any_column(spark, rows, tmp_path):
+    """Columns named like computed ones come through each stage untouched, and null ids are judged by their own text."""
+    import corpus_pipeline
+
+    names = ["predicted", "score", "held_out", "kept_text", "n_lines", "n_dropped", "kept_sha256", "component_id", "n_shingles", "n_words", "n_hit", "items", "contaminated", "text_hash", "th", "_id"]
+    items = [(1, " ".join((rows[25][1] or "").split()[:20]))]
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(r[0], int("idiot" in (r[1] or ""))) for r in rows], "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    table = [(i, t, *[f"{c}{i}" for c in names]) for i, t in texts(rows)] + [(None, items[0][1], *names), (None, "a clean text of no one", *names)]
+    docs = spark.createDataFrame(table, "doc_id bigint, text string, " + ", ".join(f"{c} string" for c in names)).repartition(3)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns
+        found = got.collect()
+        assert all(r[c] == f"{c}{r.doc_id}" for r in found if r.doc_id is not None for c in names)
+        lone = {r.text for r in found if r.doc_id is None}
+        assert "a clean text of no one" in lone
+        if name == "benchmark_decontamination":
+            assert items[0][1] not in lone
+
+
+def test_texts_of_a_megabyte(spark):
+    """Batches are cut by bytes: texts of a megabyte pass one or a few at a time, whole."""
+    seen = []
+
+    def run(batches):
+        for b in batches:
+            yield common.batch(["rows", "size"], [common.pa.int64(), common.pa.int64()], [[b.num_rows], [b.nbytes]])
+
+    big = spark.range(24, numPartitions=1).selectExpr("id AS doc_id", "repeat(concat('line ', id, '\n'), 150000) AS text")
+    seen = common.arrow_map(big.select("text"), run, "rows bigint, size bigint").collect()
+    assert sum(r.rows for r in seen) == 24 and max(r["size"] for r in seen) <= common.BATCH_BYTES + (3 << 20)
+    got = line_dedup.dedup_lines(big).collect()
+    assert all(r.n_lines == 150_001 and r.n_dropped == 0 for r in got)
