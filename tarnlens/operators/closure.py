@@ -5,27 +5,59 @@ from __future__ import annotations
 import itertools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlens.sources.tables import settled
+from tarnlens.sources.tables import scratch
 
 
-def fixpoint(seed: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], keys: list[str], max_rounds: int | None = 64) -> DataFrame:
-    """Add what step(delta, all) derives until nothing is new by `keys`, or max_rounds are done; None is no bound.
+def fixpoint(seed: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], keys: list[str], max_rounds: int | None = None, first: Column | None = None) -> DataFrame:
+    """Add what step(delta, all) derives until nothing is new by `keys`.
 
-    Every round is written to the shared folder, so a plan never grows with the number of rounds.
+    Of several rows of a key that arise in one round, the one that comes first by `first` is kept, or by all their other
+    columns. A round's new rows are written once, beside those of earlier rounds: nothing is rewritten, and a plan never
+    grows with the number of rounds. max_rounds is for callers that want fewer rounds and say so; if rows are still new
+    then, that is an error.
     """
-    everything = delta = settled(seed.dropDuplicates(keys), "seed")
-    for _ in itertools.count() if max_rounds is None else range(max_rounds):
-        new = settled(step(delta, everything).dropDuplicates(keys).join(everything.select(*keys), keys, "left_anti"), "delta")
-        if new.isEmpty():
-            break
-        everything, delta = settled(everything.unionByName(new), "all"), new
-    return everything
+    spark = seed.sparkSession
+    schema = seed.schema
+    table = Rounds(spark, schema)
 
+    def one(df: DataFrame) -> DataFrame:
+        rest = [c for c in schema.names if c not in keys]
+        if not rest:
+            return df.select(*schema.names).distinct()
+        order = first if first is not None else F.struct(*rest)
+        return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_kept")).select(*(c if c in keys else F.col(f"_kept.{c}").alias(c) for c in schema.names))
 
-def transitive(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 64) -> DataFrame:
+    delta = table.add(one(seed))
+    for n in itertools.count():
+        if delta.isEmpty():
+            return table.all()
+        if n == max_rounds:
+            raise RuntimeError(f"rows are still new after {n} rounds")
+        everything = table.all()
+        delta = table.add(one(step(delta, everything)).join(everything.select(*keys), keys, "left_anti"))
+
+
+class Rounds:
+    """The rounds of a fixed point: a folder for each, read together."""
+
+    def __init__(self, spark: SparkSession, schema):
+        self.spark, self.schema = spark, schema
+        self.path = scratch(spark, "rounds")
+        self.n = 0
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        rows.write.parquet(f"{self.path}/round={self.n}")
+        self.n += 1
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/round={self.n - 1}")
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*(f"{self.path}/round={k}" for k in range(self.n)))
+
+
+def transitive(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """All reachable pairs. Paths double in each round, so there are as many rounds as the longest path's length has bits."""
 
     def step(delta: DataFrame, everything: DataFrame) -> DataFrame:
@@ -35,4 +67,4 @@ def transitive(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
         two = delta.join(ahead, src).select(F.col("_near").alias(src), dst)
         return one.unionByName(two)
 
-    return fixpoint(edges.select(src, dst), step, [src, dst], max_rounds)
+    return fixpoint(edges.select(src, dst), step, [src, dst])

@@ -28,9 +28,15 @@ def numbered(rank: str, prefix: str = "VULN") -> Column:
     return F.format_string(f"{prefix}-%03d", F.col(rank))
 
 
-def latest(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each group in an order, by an aggregate rather than a window: map-side combining, no sort."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter("_n = 1").drop("_n")
+def latest(df: DataFrame, by: list[str], order: Column) -> DataFrame:
+    """The row of each group that is the greatest by an order: an aggregate, combined on the map side, without a sort."""
+    rest = [c for c in df.columns if c not in by]
+    return df.groupBy(*by).agg(F.max_by(F.struct(*rest), order).alias("_row")).select(*(c if c in by else F.col(f"_row.{c}").alias(c) for c in df.columns))
+
+
+def nth(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
+    """The n-th row of each group in an order, from 1."""
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_n") == n).drop("_n")
 
 
 def top_n(df: DataFrame, order: list[Column], n: int) -> DataFrame:

@@ -2,30 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnlens.functions import text as T
 from tarnlens.operators import closure, lines, merge, rank, resolve, state
 from tarnlens.plans import analysis, fixtures
+from tarnlens.plans.registry import ORACLE, QUERIES, query
 from tarnlens.sources.tables import dimension, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
 TOKEN = r'\btoken\s*=\s*"[0-9a-f]{40}"'
 #: Rule ids and patterns of the scans below.
 DOCUMENT_RULES = [("hex-token", TOKEN), ("mail", r"[a-z0-9.]+@[a-z0-9]+\.example\.com"), ("address", r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"), ("license", r"Licensed under")]
@@ -101,7 +86,7 @@ def sanitizer_check(spark: SparkSession, d: str) -> DataFrame:
 SELECT CAST(count(*) AS BIGINT) AS duplicate_count, min(doc_id) AS first_id, list(doc_id ORDER BY doc_id) AS related_ids, list_sort(list(DISTINCT lang)) AS langs
 FROM documents GROUP BY trim(regexp_replace(text, '\s+', ' ', 'g'))""")
 def dedup_merge(spark: SparkSession, d: str) -> DataFrame:
-    merged = merge.dedup(table(spark, d, "documents"), merge.normalised("text"), "doc_id", {"related_ids": "doc_id", "langs": "lang"})
+    merged = merge.dedup(table(spark, d, "documents"), F.sha2(merge.normalised("text"), 256), "doc_id", {"related_ids": "doc_id", "langs": "lang"})
     return merged.withColumn("langs", F.array_sort("langs"))
 
 
@@ -110,7 +95,7 @@ SELECT min(d.doc_id) AS first_id, CAST(max(l.quality) AS INTEGER) AS best_qualit
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY trim(regexp_replace(d.text, '\s+', ' ', 'g'))""")
 def merge_best_confidence(spark: SparkSession, d: str) -> DataFrame:
     joined = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
-    return joined.groupBy(merge.normalised("text").alias("k")).agg(F.min("doc_id").alias("first_id"), F.max("quality").cast("int").alias("best_quality"), F.min_by("doc_id", F.struct(-F.col("quality"), "doc_id")).alias("best_doc"), F.count("*").alias("n")).drop("k")
+    return joined.groupBy(F.sha2(merge.normalised("text"), 256).alias("k")).agg(F.min("doc_id").alias("first_id"), F.max("quality").cast("int").alias("best_quality"), F.min_by("doc_id", F.struct(-F.col("quality"), "doc_id")).alias("best_doc"), F.count("*").alias("n")).drop("k")
 
 
 @query(f"""
@@ -409,17 +394,26 @@ def _fixture_files(spark: SparkSession) -> DataFrame:
     return dimension(spark, list(fixtures.SOURCES.items()), "file string, content string")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{i}', '{t}', '{f}', CAST({n} AS INTEGER), '{m}', '{c}')" for i, t, f, n, m, c in fixtures.EXPECTED) + ") AS x(id, type, file, line, function, confidence)")
+def values(rows: list[tuple], kinds: list[str], names: list[str]) -> str:
+    """SQL of some constant rows."""
+    shown = lambda x: "NULL" if x is None else "[" + ", ".join(map(shown, x)) + "]" if isinstance(x, list) else str(x).lower() if isinstance(x, bool) else str(x) if isinstance(x, (int, float)) else "'" + x.replace("'", "''") + "'"
+    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(f"CAST({shown(x)} AS {k})" for x, k in zip(r, kinds, strict=True)) + ")" for r in rows) + f") AS x({', '.join(names)})"
+
+
+@query(values(fixtures.EXPECTED, ["VARCHAR", "VARCHAR", "VARCHAR", "INTEGER", "VARCHAR", "VARCHAR"], ["id", "type", "file", "line", "function", "confidence"]))
 def java_findings(spark: SparkSession, d: str) -> DataFrame:
-    return analysis.prioritize(analysis.detect(_fixture_files(spark))).select("id", "type", "file", "line", "function", "confidence")
+    return analysis.prioritize(analysis.findings(_fixture_files(spark))).select("id", "type", "file", "line", "function", "confidence")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{c}', {[*names]!r})" for c, names in fixtures.EXPECTED_CALLS) + ") AS x(caller, callees)")
+@query(values([(c, list(names)) for c, names in fixtures.EXPECTED_CALLS], ["VARCHAR", "VARCHAR[]"], ["caller", "callees"]))
 def java_call_graph(spark: SparkSession, d: str) -> DataFrame:
     return analysis.call_graph(analysis.syntax_nodes(_fixture_files(spark)))
 
 
-@query("SELECT * FROM (VALUES ('shop/Catalog.java', CAST(80 AS BIGINT)), ('shop/Page.java', CAST(80 AS BIGINT)), ('shop/Tools.java', CAST(60 AS BIGINT)), ('shop/items.xml', CAST(90 AS BIGINT))) AS x(file, score)")
+@query(values([("shop/Catalog.java", 80), ("shop/Page.java", 80), ("shop/Tools.java", 50), ("shop/items.xml", 90)], ["VARCHAR", "BIGINT"], ["file", "score"]))
 def java_scores(spark: SparkSession, d: str) -> DataFrame:
     files = _fixture_files(spark)
-    return analysis.scores(analysis.prioritize(analysis.detect(files)), files)
+    return analysis.scores(analysis.prioritize(analysis.findings(files)), files)
+
+
+from tarnlens.plans import catalogue_functions, catalogue_project  # noqa: E402, F401  they add their queries

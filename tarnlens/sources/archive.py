@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import io
+import posixpath
 import re
 import stat
 import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Limits of an archive and of a file in it.
@@ -62,14 +63,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for repo, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
-                found = list(members(data))
+                found = checked(data)
                 root = source_root([n for n, _ in found])
-                java = [(n, c) for n, c in found if n.lower().endswith(".java")]
-                if not java:
-                    raise ArchiveError("the archive has no Java files")
-                if any(len(c) > MAX_JAVA_BYTES for _, c in java):
-                    raise ArchiveError(f"a Java file has more than {MAX_JAVA_BYTES} bytes")
-                rows = [(repo, n.removeprefix(root), c.decode("utf-8")) for n, c in java]
+                rows = [(repo, n.removeprefix(root), c.decode("utf-8")) for n, c in found if n.lower().endswith(".java")]
                 for n, c in found:
                     if n.lower().endswith(".xml"):
                         try:
@@ -83,9 +79,65 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return found.filter(F.lower("file").endswith(".java") | F.col("content").rlike(r"(?i)<\s*(?:mapper|sqlMap)\b"))
 
 
+def inspected(archives: DataFrame) -> DataFrame:
+    """(path, n_files, root, error) of archives (path, content): which guard an archive breaks, or where its sources begin."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for path, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
+                try:
+                    found = checked(data)
+                    rows.append((path, len(found), source_root([n for n, _ in found]), None))
+                except ArchiveError as e:
+                    rows.append((path, None, None, str(e)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.int32(), pa.string(), pa.string()))], names=["path", "n_files", "root", "error"])
+
+    return archives.select("path", "content").mapInArrow(run, "path string, n_files int, root string, error string")
+
+
+def checked(data: bytes) -> list[tuple[str, bytes]]:
+    """An archive's files, once all guards of archive and Java files hold."""
+    found = list(members(data))
+    java = [c for n, c in found if n.lower().endswith(".java")]
+    if not java:
+        raise ArchiveError("the archive has no Java files")
+    if len(java) > MAX_MEMBERS:
+        raise ArchiveError(f"the archive has more than {MAX_MEMBERS} Java files")
+    if any(len(c) > MAX_JAVA_BYTES for c in java):
+        raise ArchiveError(f"a Java file has more than {MAX_JAVA_BYTES} bytes")
+    return found
+
+
+def rejected(name: Column, size: Column) -> Column:
+    """Why a single file that is handed in is turned down, or null."""
+    base = F.element_at(F.split(name, "/"), -1)
+    return F.when(base == "", "no name").when(~F.lower(base).endswith(".java"), "not a Java file").when(size > MAX_JAVA_BYTES, f"more than {MAX_JAVA_BYTES} bytes")
+
+
+def guarded(files: DataFrame) -> DataFrame:
+    """Source files (path, length, ...) of a folder whose Java files hold the guards; a broken one is raised when rows are read.
+
+    The number of files is counted before; a folder without Java files is an error too.
+    """
+    java = F.lower("path").endswith(".java")
+    n = files.filter(java).count()
+    if not n or n > MAX_MEMBERS:
+        raise ArchiveError("no Java files" if not n else f"more than {MAX_MEMBERS} Java files")
+    large = F.raise_error(F.concat(F.col("path"), F.lit(f" has more than {MAX_JAVA_BYTES} bytes"))).cast("bigint")
+    return files.withColumn("length", F.when(java & (F.col("length") > MAX_JAVA_BYTES), large).otherwise(F.col("length")))
+
+
+def contained(target: str, workspace: str) -> str | None:
+    """A target's absolute path if it lies in the workspace; relative ones begin there."""
+    root = posixpath.normpath(workspace)
+    path = posixpath.normpath(posixpath.join(root, target))
+    return path if path == root or path.startswith(root.rstrip("/") + "/") else None
+
+
 def repository(url: str) -> tuple[str, str] | None:
     """(owner, name) of a repository's address."""
-    m = re.fullmatch(r"https://github\.com/([A-Za-z0-9-]+)/([A-Za-z0-9._-]+?)(?:\.git)?/?", url.strip())
+    m = re.fullmatch(r"https://github\.com/([A-Za-z0-9_.-]+)/([A-Za-z0-9_.-]+?)(?:\.git)?", url.strip().rstrip("/"))
     return (m[1], m[2]) if m else None
 
 

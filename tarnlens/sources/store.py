@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,14 +32,16 @@ class ResultStore:
             if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
                 return self.spark.createDataFrame([], SCHEMA)
             raise
-        return rank.latest(every, ["analysis_id"], [F.desc("written_at"), F.desc("version")]).select(*[f.split()[0] for f in SCHEMA.split(", ")])
+        return rank.latest(every, ["analysis_id"], F.struct("written_at", "version")).select(*[f.split()[0] for f in SCHEMA.split(", ")])
 
     def save(self, user_id: int | None, result_json: str, repository: str | None = None, files_analyzed: int = 0, total: int = 0, public: bool = False) -> str:
-        analysis_id = str(uuid.uuid4())
-        top = self.table().agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        row = self.spark.createDataFrame([(top + 1, user_id, public, analysis_id, repository, None, "java", files_analyzed, total, result_json, None, None)], SCHEMA)
+        """The new row's analysis id. Its number comes from the clock and the id, not from the greatest so far, so two writers
+        at once don't take the same."""
+        made = uuid.uuid4()
+        number = time.time_ns() // 1000 << 10 | made.int & 1023
+        row = self.spark.createDataFrame([(number, user_id, public, str(made), repository, None, "java", files_analyzed, total, result_json, None, None)], SCHEMA)
         self._append(row.withColumn("created_at", F.current_timestamp()).withColumn("updated_at", F.current_timestamp()))
-        return analysis_id
+        return str(made)
 
     def visible(self, user_id: int | None) -> DataFrame:
         return rank.visible(self.table(), F.col("user_id"), F.col("is_public"), F.lit(user_id).cast("bigint"))
@@ -71,7 +74,7 @@ class ResultStore:
 def upsert_users(users: DataFrame, new: DataFrame) -> DataFrame:
     """Users by github_id with the latest particulars; a login or address of two ids is an error that is raised when read."""
     every = users.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
-    merged = rank.latest(every, ["github_id"], [F.desc("_new")]).drop("_new")
+    merged = rank.latest(every, ["github_id"], F.col("_new")).drop("_new")
     clashes = merged.groupBy("github_login").agg(F.count("*").alias("_n"))
     checked = merged.join(clashes, "github_login").withColumn("github_login", F.when(F.col("_n") == 1, F.col("github_login")).otherwise(F.raise_error(F.concat(F.lit("login in use: "), "github_login"))))
     return checked.drop("_n").select(*merged.columns)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,10 +18,29 @@ def dimension(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def settled(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder (spark.checkpoint.dir) and read back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in spark.checkpoint.dir, removed when the driver ends. In local mode an unset folder is one of our own;
+    on a cluster it has to be set, as executors share no other."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     path = f"{root.rstrip('/')}/tarnlens-{label}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    except Exception:  # the session has ended; its folder is the cluster's to clean
+        pass
+
+
+def settled(df: DataFrame, label: str) -> DataFrame:
+    """Write to the shared folder and read back: cuts lineage and survives lost executors."""
+    path = scratch(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,7 +9,7 @@ from tarnlens.sources import java
 
 
 def found(body: str, spring: bool = True) -> list[tuple[str, str]]:
-    return [(f.type, f.function.split(".")[-1]) for f in analyse("A.java", "class A {" + body + "}", spring)]
+    return [(f.type, f.function) for f in analyse("A.java", "class A {" + body + "}", spring)]
 
 
 def test_intervals_nest():
@@ -49,13 +49,24 @@ def test_syntax_forms():
         ('@Select("SELECT * FROM t WHERE a = #{a}") T q(String a);', []),
         ('void x(@RequestParam String a) { out.print("<b>" + a); }', [("XSS", "x")]),
         ('void x(@RequestParam String a) { out.print("<b>" + htmlEscape(a)); }', []),
-        ("void p(R req) { for (Cookie c : req.getCookies()) { String v = c.getValue(); new File(v); } }", [("PATH_TRAVERSAL", "p")]),
+        ("void p(R req) { Cookie[] all = req.getCookies(); for (Cookie c : all) { String v = c.getValue(); new File(v); } }", [("PATH_TRAVERSAL", "p")]),
+        ("void p(R req) { Header[] all = load(); for (Header c : all) { String v = c.getValue(); new File(v); } }", []),
+        ('void p(@RequestParam String a) { Path t = base.resolve(a).normalize(); if (!t.startsWith(base)) return; new File(t.toString()); }', []),
+        ('void p(@RequestParam String a) { Path t = base.resolve(a).normalize(); if (!t.startsWith(base)) return; new File(a); }', [("PATH_TRAVERSAL", "p")]),
+        ('void p(@RequestParam String a) { Path t = base.resolve(a); if (!t.startsWith(base)) return; new File(t.toString()); }', [("PATH_TRAVERSAL", "p")]),
+        ('void p(@RequestParam String a) { new FileReader(new File(a)); }', [("PATH_TRAVERSAL", "p")]),
         ('void p(R req) { String v = req.getHeader("x"); v = "fixed"; new File(v); }', []),
         ("void c(@RequestParam String a) { List<String> l = new ArrayList<>(); l.add(a); new ProcessBuilder(l); }", [("COMMAND_INJECTION", "c")]),
         ("void c(@RequestParam String a) { if (!allowed.contains(a)) return; new ProcessBuilder(a); }", []),
         ("String makeToken() { Random r = new Random(); return r.next(); }", [("INSECURE_RANDOM", "makeToken")]),
         ("int rollDice() { Random r = new Random(); return r.next(); }", []),
-        ('byte[] h(String password) { return MessageDigest.getInstance("SHA-256").digest(password.getBytes()); }', [("WEAK_HASH", "h")]),
+        ('byte[] h(String password) { MessageDigest md = MessageDigest.getInstance("SHA-256"); return md.digest(password.getBytes()); }', [("WEAK_HASH", "h")]),
+        ('byte[] h(String password) { MessageDigest md = MessageDigest.getInstance("SHA-256"); md.update(salt); return md.digest(password.getBytes()); }', []),
+        ('byte[] h(byte[] data) { return MessageDigest.getInstance("sha_1").digest(data); }', [("WEAK_HASH", "h")]),
+        ("void u(MultipartFile f) { f.transferTo(p); }", [("DANGEROUS_FILE_UPLOAD", "u")]),
+        ('void x(@RequestParam String a) { resp.setContentType("text/html"); out.format(a); }', [("XSS", "x")]),
+        ('void x(@RequestParam String a) { out.format(a); }', []),
+        ('void x(@RequestParam String a) { a = null; out.print("<b>" + a); }', [("XSS", "x")]),
         ('byte[] h(byte[] data) { return MessageDigest.getInstance("SHA-256").digest(data); }', []),
         ('void b() { String v = "7e5tc4s3"; DriverManager.getConnection(u, n, v); }', [("HARDCODED_SECRET", "b")]),
         ('void b() { String v = "foo"; DriverManager.getConnection(u, n, v); }', []),
