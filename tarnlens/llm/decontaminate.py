@@ -49,22 +49,28 @@ def window_rows(items: DataFrame, window: int) -> DataFrame:
     return common.arrow_map(items, run, "item string, words array<string>")
 
 
-class WordFilter(dict):
-    """Whether a word may be one of a set: two bits of its hash. Short words are remembered, a bounded number of them."""
+class WordFilter:
+    """Which words may be of a set, by two bits of their hashes. A bounded number of short words that aren't is remembered,
+    so most of a text is told by one difference of sets."""
 
-    KEPT, KEPT_BYTES = 100_000, 64
+    KEPT, KEPT_BYTES = 250_000, 48
 
     def __init__(self, bits: np.ndarray):
-        super().__init__()
-        self.bits = bits
+        self.bits = bits.tobytes()
+        self.others: set[bytes] = set()
 
-    def __missing__(self, word: bytes) -> bool:
+    def __contains__(self, word: bytes) -> bool:
         h = xxhash.xxh64_intdigest(word, 42)
-        found = all(int(self.bits[(x % FILTER_BITS) >> 6]) >> (x & 63) & 1 for x in (h, h >> 32))
-        if len(word) <= self.KEPT_BYTES:
-            if len(self) >= self.KEPT:
-                self.clear()
-            self[word] = found
+        a, b = h % FILTER_BITS, (h >> 32) % FILTER_BITS
+        return bool(self.bits[a >> 3] >> (a & 7) & self.bits[b >> 3] >> (b & 7) & 1)
+
+    def among(self, words: list[bytes]) -> set[bytes]:
+        """Those of the words that the filter lets through."""
+        new = set(words).difference(self.others)
+        found = {w for w in new if w in self}
+        if len(self.others) > self.KEPT:
+            self.others.clear()
+        self.others.update(w for w in new.difference(found) if len(w) <= self.KEPT_BYTES)
         return found
 
 
@@ -87,7 +93,7 @@ def word_documents(texts: DataFrame, words: DataFrame) -> DataFrame:
         out = lambda: common.batch(["word", "n"], [pa.string(), pa.int64()], [[w.decode("utf-8", "surrogatepass") for w in own], list(own.values())])
         for b in batches:
             for text in b.column("text").to_pylist():
-                own.update(filter(known.__getitem__, set(common.letter_words(common.utf8(text)))))
+                own.update(known.among(common.letter_words(common.utf8(text))))
             if len(own) > FLUSH:
                 yield out()
                 own.clear()
@@ -107,7 +113,8 @@ def _occurrences(held, reach: int):
             rows, took = [], []
             for i, text in enumerate(b.column("text").to_pylist()):
                 words = common.letter_words(common.utf8(text))
-                found = [at for at, live in enumerate(map(known.__getitem__, words)) if live]
+                live = known.among(words)
+                found = [at for at, w in enumerate(words) if w in live] if live else []
                 rows.append((len(words), None, None, None, None))
                 rows += [(None, words[at].decode("utf-8", "surrogatepass"), at, joined(words[max(0, at - reach) : at]), joined(words[at + 1 : at + 1 + reach])) for at in found]
                 took += [i] * (1 + len(found))

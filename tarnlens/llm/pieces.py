@@ -144,19 +144,24 @@ class Encoder:
         ends = self._spans([(p.piece, self.sp.is_byte(p.id)) for p in proto.pieces], align)
         return Encoding(ids, ends, ends[-1] if ends else 0)
 
-    def _learn(self, cuts: list[list[str]]) -> None:
-        """Encode in few calls what isn't known yet of some texts' later segments.
+    def _segments(self, text: str) -> tuple[str | None, list[str]]:
+        """A text cut where no piece reaches across: what has to be encoded by itself, and segments that each stand behind
+        one space mark. The dummy prefix is such a mark, so a text of words with single blanks is segments throughout."""
+        if MARK not in text and "  " not in text and text[0] != " " and text[-1] != " ":
+            return None, text.split(" ")
+        first, *rest = self._cut(text)
+        return first, [s[1:] for s in rest]
 
-        Each begins with a space mark, which stands in for the dummy prefix.
-        """
+    def _learn(self, cuts: list[list[str]]) -> None:
+        """Encode in few calls what isn't known yet of some texts' segments."""
         kept = self.kept
-        missing = list({s for cut in cuts for s in cut[1:]}.difference(kept))
+        missing = list(set().union(*cuts).difference(kept))
         if len(kept) + len(missing) > KEPT:
             kept.clear()
-            missing = list({s for cut in cuts for s in cut[1:]})
+            missing = list(set().union(*cuts))
         for at in range(0, len(missing), 10_000):
             some = missing[at : at + 10_000]
-            for s, ids in zip(some, self.sp.encode([s[1:] for s in some], num_threads=1), strict=True):
+            for s, ids in zip(some, self.sp.encode(some, num_threads=1), strict=True):
                 kept[s] = array(self.code, ids or self.bare).tobytes()
 
     def packed(self, texts: list[str | None], end: bytes) -> bytes:
@@ -166,12 +171,12 @@ class Encoder:
         """
         if not self.separable:
             return b"".join(array(self.code, self.sp.encode(t or "")).tobytes() + end for t in texts)
-        cuts, out = [self._cut(t) if t else [] for t in texts], []
-        self._learn(cuts)
-        for cut in cuts:
-            if cut:
-                out.append(array(self.code, self.sp.encode(cut[0])).tobytes())
-                out += map(self.kept.__getitem__, cut[1:])
+        cuts, out = [self._segments(t) if t else (None, []) for t in texts], []
+        self._learn([rest for _, rest in cuts])
+        for first, rest in cuts:
+            if first is not None:
+                out.append(array(self.code, self.sp.encode(first)).tobytes())
+            out += map(self.kept.__getitem__, rest)
             out.append(end)
         return b"".join(out)
 
