@@ -48,14 +48,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     if not unsure.limit(1).count():
         found = ngram_join.link_components(docs, n=5, percent=80)
         gone = found.filter("doc_id <> coalesce(component_id, doc_id) OR (component_id IS NULL AND doc_id IS NOT NULL)").select("doc_id")
-        return docs.join(common.settled(gone, "copies"), "doc_id", "left_anti").select(*docs.columns)
+        gone = common.settled(gone, "copies")
+        common.shrink_heaps(spark)
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     # numbers of rows stand in for ids; written, so that they are the same in every pass
     rows = common.settled(docs.withColumn("_near_row", F.monotonically_increasing_id()), "rows")
     found = ngram_join.link_components(rows, n=5, percent=80, id_col="_near_row").filter("n_shingles > 0").select("_near_row", "component_id")
     placed = common.settled(rows.select("_near_row", F.struct("doc_id", F.xxhash64("text").alias("th"), "_near_row").alias("place")).join(found, "_near_row"), "placed")
     first = common.settled(placed.groupBy("component_id").agg(F.min("place").alias("first")), "first")
     gone = placed.join(first, "component_id").filter("_near_row <> first._near_row").select("_near_row")
-    return rows.join(common.settled(gone, "copies"), "_near_row", "left_anti").select(*docs.columns)
+    gone = common.settled(gone, "copies")
+    common.shrink_heaps(spark)
+    return rows.join(gone, "_near_row", "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,6 +67,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     own, names = _renamed(docs)
     found = decontaminate.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
     gone = common.settled(found.filter("contaminated").select("doc_id", "text_hash").distinct(), "leaks")
+    common.shrink_heaps(spark)
     same = F.col(names["doc_id"]).eqNullSafe(gone["doc_id"]) & (F.xxhash64(names["text"]) == gone["text_hash"])
     return own.join(gone, same, "left_anti").select(*(F.col(n).alias(c) for c, n in names.items()))
 
@@ -71,6 +76,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Digests of each document's piece ids and of what they decode to."""
     import public_tokenizers
 
+    common.shrink_heaps(spark)
     return pieces.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 

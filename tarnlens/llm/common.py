@@ -6,6 +6,7 @@ import atexit
 import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -79,6 +80,19 @@ def dropped(*tables: DataFrame) -> None:
         _remove(t.sparkSession, t.tarnlens_path)
 
 
+def shrink_heaps(spark: SparkSession) -> None:
+    """Have the executors' JVMs give back the heap that work so far has made them take.
+
+    A JVM keeps what it once took, up to its limit, whatever it holds; the Python workers beside it need that memory. Called
+    before many files are written, as a JVM counts twice while it starts a process, which Hadoop's local file system does for
+    each file. Only memory is touched: where it reaches not every executor, nothing else differs.
+    """
+    if spark.sparkContext.master.startswith("local["):
+        return
+    n = 2 * spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).selectExpr("reflect('java.lang.System', 'gc') AS done").write.format("noop").mode("overwrite").save()
+
+
 def small_batches(spark: SparkSession) -> None:
     """Lower the session's Arrow batches to BATCH_ROWS and BATCH_BYTES, so that a batch of very long texts fits a worker."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
@@ -111,25 +125,67 @@ def digests(raw: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.frombuffer(b"".join([one(raw[b:e]) for b, e in zip(begin.tolist(), end.tolist(), strict=True)]), np.int64).reshape(-1, 2)
 
 
-class WordCodes(dict):
-    """A 64-bit code for each word's bytes; short words are remembered, a bounded number of them."""
-
-    KEPT, KEPT_BYTES = 100_000, 64
-
-    def __missing__(self, word: bytes) -> int:
-        code = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= self.KEPT_BYTES:
-            if len(self) >= self.KEPT:
-                self.clear()
-            self[word] = code
-        return code
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
+def mix(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> np.uint64(31))
+    x = x * np.uint64(0x7FB5D329728EA185)
+    x = x ^ (x >> np.uint64(27))
+    x = x * np.uint64(0x81DADEF4BC2DD44D)
+    return x ^ (x >> np.uint64(33))
+
+
+#: A 64-bit code for each byte value.
+BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_BLANK = np.isin(np.arange(256), list(SPACE.encode()))
+#: Bytes of a text that are cut into words at once.
+PIECE = 1 << 20
+
+
+class Words(NamedTuple):
+    """The words `[^\\x20\\x09-\\x0D]+` of a text: a code for each, all of them joined by one blank, and where each lies there.
+
+    A word's code adds up a number for each of its bytes that depends on value and place in a way which isn't linear in
+    either, so no regular structure of a word makes it agree with another's, as it can for polynomials modulo 2^64.
+    """
+
+    codes: np.ndarray
+    raw: bytes
+    begin: np.ndarray
+    end: np.ndarray
+
+
+def words(datas: list[bytes]) -> list[Words]:
+    """The words of each of some texts. They are cut together, a piece at a time, as most texts are short."""
+    data = b"\n".join(datas)
+    codes, raws, sizes, starts, at = [], [], [], [], 0
+    while at < len(data):
+        stop = at + PIECE
+        while stop < len(data) and not _BLANK[data[stop]]:
+            stop += 1
+        x = np.frombuffer(data[at:stop] + b" ", np.uint8)
+        inside = ~_BLANK[x]
+        step = np.diff(inside.astype(np.int8), prepend=0)
+        start, last = np.flatnonzero(step == 1), step == -1
+        size = np.flatnonzero(last) - start
+        if len(size):
+            kept = x[inside]
+            first = np.cumsum(size) - size
+            place = np.arange(len(kept)) - np.repeat(first, size)
+            z = BYTE_CODES[kept] + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+            z = (z ^ (z >> np.uint64(32))) * np.uint64(0x9FB21C651E98DF25)
+            codes.append(mix(np.add.reduceat(z ^ (z >> np.uint64(29)), first) + size.astype(np.uint64)))
+            held = inside | last  # each word and the blank behind it
+            raws.append(np.where(inside, x, np.uint8(32))[held].tobytes())
+            sizes.append(size)
+            starts.append(start + at)
+        at = stop
+    none = np.zeros(0, np.int64)
+    size, start = (np.concatenate(x) if x else none for x in (sizes, starts))
+    code, raw = np.concatenate(codes) if codes else np.zeros(0, np.uint64), b"".join(raws)
+    end = np.cumsum(size + 1) - 1
+    begin = end - size
+    cuts = np.searchsorted(start, np.cumsum([0, *(len(d) + 1 for d in datas)])).tolist()
+    return [Words(code[a:b], raw, begin[a:b], end[a:b]) for a, b in zip(cuts, cuts[1:])]
 
-#: One to a worker.
-WORD_CODES = WordCodes()
 
 #: Stands for a null id: it comes before all others, and an integer id can't be this number itself.
 NO_ID = -(2**63)

@@ -161,6 +161,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     summary = covered.join(named.withColumnsRenamed({"id": "_id", "th": "_th"}), F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("_id", "_th", "n_hit", "items")
     summary = common.settled(summary, "summary")
     common.dropped(hits, prefixes, owners)
+    common.shrink_heaps(docs.sparkSession)
     rows = passed.filter("word IS NULL").select("id", "th", "n_words")
     found = rows.join(summary, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("bigint"))

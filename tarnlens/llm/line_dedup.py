@@ -83,7 +83,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     else:
         repeated = rows.select("key", "id").distinct().groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs)
     # written first, so that both sides of the join are dealt by it alone and Spark can split a key with very many rows
-    marked = rows.join(common.settled(repeated.select("key", "first"), "lines"), "key").filter(F.col("id") != F.col("first"))
+    repeated = common.settled(repeated.select("key", "first"), "lines")
+    common.shrink_heaps(docs.sparkSession)
+    marked = rows.join(repeated, "key").filter(F.col("id") != F.col("first"))
     # th tells rows of one id apart: positions are those of one text
     dropped = marked.groupBy("id", "th").agg(F.flatten(F.collect_list("positions")).alias("dropped"))
     kinds = dict(docs.dtypes)

@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .common import mix
 from .components import components
-from .windows import mix
 
 #: Sets and shingles to a chunk.
 CHUNK_SETS, CHUNK_SHINGLES = 64, 1 << 20
@@ -42,16 +42,16 @@ COUNTERS, SEGMENTS = 1 << 19, 32
 COMMON = 8
 
 
-def shingle_set(text: str | None, n: int) -> np.ndarray:
-    """Sorted hashes of the distinct n-word shingles; with fewer words the whole sequence is one."""
-    codes = common.WORD_CODES.of(common.lower_ascii(common.utf8(text)).split())
-    if not len(codes):
-        return np.zeros(0, np.uint64)
-    k = min(n, len(codes))
-    grams = np.full(len(codes) - k + 1, k, np.uint64)
-    for i in range(k):  # word after word is mixed in, so no two orders of the same words are alike
-        grams = mix(grams + codes[i : len(codes) - k + 1 + i])
-    return np.unique(grams)
+def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
+    """Of each text the sorted hashes of its distinct n-word shingles; with fewer words the whole sequence is one."""
+    out = []
+    for codes, *_ in common.words([common.lower_ascii(common.utf8(t)) for t in texts]):
+        k = min(n, len(codes))
+        grams = np.full(len(codes) - k + 1 if k else 0, k, np.uint64)
+        for i in range(k):  # word after word is mixed in, so no two orders of the same words are alike
+            grams = mix(grams + codes[i : len(codes) - k + 1 + i])
+        out.append(np.unique(grams))
+    return out
 
 
 class Threshold:
@@ -237,7 +237,7 @@ def _sized(n: int):
         kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
         names = ["id", "n_shingles", "digest", "counts"]
         for b in batches:
-            sets = [shingle_set(t, n) for t in b.column("text").to_pylist()]
+            sets = shingle_sets(b.column("text").to_pylist(), n)
             if sets:
                 counts += np.bincount(_counter(np.concatenate(sets)), minlength=COUNTERS)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(s) for s in sets], kinds[1]), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], kinds[2]), pa.nulls(len(sets), kinds[3])], names=names)
@@ -269,7 +269,7 @@ def _signed(n: int, percent: int, common_ones):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         threshold = Threshold(percent)
         for b in batches:
-            found = [signatures(shingle_set(t, n), threshold, common_ones.value) for t in b.column("text").to_pylist()]
+            found = [signatures(s, threshold, common_ones.value) for s in shingle_sets(b.column("text").to_pylist(), n)]
             took = np.repeat(np.arange(b.num_rows), [len(f) for f in found])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)), b.column("id").take(pa.array(took))], names=["signature", "id"])
 
@@ -292,7 +292,7 @@ def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _shingled(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(t, n) for t in b.column("text").to_pylist()]
+            sets = shingle_sets(b.column("text").to_pylist(), n)
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("part"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "part", "size", "shingles"])
 
     return run
@@ -365,6 +365,7 @@ def link_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     # a row without shingles is of the node that its id's other rows are
     blank = sized.filter("n_shingles = 0").select("id").distinct()
     others = common.settled(sized.filter("n_shingles > 0").join(blank, "id", "left_semi").join(class_of, "digest").groupBy("id").agg(F.min("label").alias("node")), "others")
+    common.shrink_heaps(docs.sparkSession)
     out = sized.join(class_of, "digest", "left").join(others, "id", "left").select("id", "n_shingles", F.coalesce("label", "node", "id").alias("label"))
     bare = lambda c: F.when(F.col(c) != common.NO_ID, F.col(c))
     return out.select(bare("id").alias(id_col), "n_shingles", bare("label").alias("component_id"))

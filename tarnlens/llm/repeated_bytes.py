@@ -23,8 +23,8 @@ REPORT = 240
 REPORT_GRAM = 128
 
 
-def byte_units(data: bytes) -> windows.Units:
-    return windows.Units(windows.BYTE_CODES[np.frombuffer(data, np.uint8)], data)
+def byte_units(datas: list[bytes]) -> list[windows.Units]:
+    return [windows.Units(common.BYTE_CODES[np.frombuffer(d, np.uint8)], d) for d in datas]
 
 
 def _covered(spans, length: int, window: int) -> np.ndarray:

@@ -21,12 +21,9 @@ WINDOW = 20
 GRAM = 10
 
 
-def word_units(data: bytes) -> windows.Units:
-    """The words `[^\\x20\\x09-\\x0D]+`; contents are compared as words joined by one blank."""
-    words = data.split()
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    end = np.cumsum(size + 1) - 1
-    return windows.Units(common.WORD_CODES.of(words), b" ".join(words), end - size, end)
+def word_units(datas: list[bytes]) -> list[windows.Units]:
+    """Contents are compared as words joined by one blank."""
+    return [windows.Units(*w) for w in common.words(datas)]
 
 
 def _keep(window: int, with_text: bool):

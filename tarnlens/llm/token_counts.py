@@ -116,6 +116,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
                 sizes.append(len(data))
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(sizes, pa.int64()), b.column("id").take(pa.array(took, pa.int32()))], names=["row", "word", "n", "n_bytes", "id"])
 
+    common.shrink_heaps(spark)
     parts = common.arrow_map(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), split, f"row bigint, word binary, n bigint, n_bytes bigint, id {kind}")
     joined = parts.join(vocabulary.select("word", "pieces"), "word", "left")
     # an input row's own line has its sum over the head as n, and no pieces

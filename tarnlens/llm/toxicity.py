@@ -266,6 +266,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     type. `carry` names columns to pass through, which must not be named like a computed one; other columns are ignored,
     whatever their names.
     """
+    common.shrink_heaps(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
     kinds = dict(docs.dtypes)
 

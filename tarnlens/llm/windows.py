@@ -33,18 +33,6 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _tables: list[np.ndarray] = [np.ones(1, U)] * 2
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> U(31))
-    x = x * U(0x7FB5D329728EA185)
-    x = x ^ (x >> U(27))
-    x = x * U(0x81DADEF4BC2DD44D)
-    return x ^ (x >> U(33))
-
-
-#: A 64-bit code for each byte value.
-BYTE_CODES = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
-
-
 class Units(NamedTuple):
     """A text as a sequence of units, words or bytes: a code for each, and where each lies in the bytes."""
 
@@ -77,7 +65,7 @@ def gram_hashes(codes: np.ndarray, k: int) -> np.ndarray:
     prefix = np.zeros(len(codes) + 1, U)
     np.cumsum(codes * power[: len(codes)], out=prefix[1:])
     n = len(prefix) - k
-    return mix((prefix[k:] - prefix[:n]) * inverse[:n])
+    return common.mix((prefix[k:] - prefix[:n]) * inverse[:n])
 
 
 def window_minima(x: np.ndarray, w: int) -> np.ndarray:
@@ -104,15 +92,15 @@ def blocks(units: Units, w: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarra
         yield anchors[start].view(np.int64), units.digests(start + at, end + at + w - 1), start + at, end - start
 
 
-def _seed_rows(coder: Callable[[bytes], Units], w: int, k: int):
+def _seed_rows(coder: Callable[[list[bytes]], list[Units]], w: int, k: int):
     names = ["a", "c", "d", "id", "th", "start", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[np.zeros(0, np.int64)], [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
             times = np.zeros(b.num_rows, np.int64)
-            for i, text in enumerate(b.column("text").to_pylist()):
-                for part in blocks(coder(common.utf8(text)), w, k):
+            for i, units in enumerate(coder([common.utf8(t) for t in b.column("text").to_pylist()])):
+                for part in blocks(units, w, k):
                     times[i] += len(part[0])
                     for column, value in zip(out, part, strict=True):
                         column.append(value)
@@ -123,13 +111,12 @@ def _seed_rows(coder: Callable[[bytes], Units], w: int, k: int):
     return run
 
 
-def _window_rows(coder: Callable[[bytes], Units], w: int):
+def _window_rows(coder: Callable[[list[bytes]], list[Units]], w: int):
     names = ["a", "c", "d", "id", "th", "pos", "need"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, text in enumerate(b.column("text").to_pylist()):
-                units = coder(common.utf8(text))
+            for i, units in enumerate(coder([common.utf8(t) for t in b.column("text").to_pylist()])):
                 found = b.column("blocks")[i].values
                 a, start, n, need = (found.field(f).to_numpy(zero_copy_only=False) for f in ("a", "start", "n", "need"))
                 pos = np.repeat(start.astype(np.int64), n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
@@ -145,7 +132,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(common.integer_id(docs, id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
 
 
-def repeated_windows(source: DataFrame, coder: Callable[[bytes], Units], w: int, k: int, keep_first: bool) -> DataFrame:
+def repeated_windows(source: DataFrame, coder: Callable[[list[bytes]], list[Units]], w: int, k: int, keep_first: bool) -> DataFrame:
     """Rows (id, th, spans array<struct<start,n>>): runs of windows that occur again or, with keep_first, that occur
     earlier (in a smaller id, or at a smaller start of the same id). source is keyed(). The result is a written table."""
     seeds = common.arrow_map(source, _seed_rows(coder, w, k), "a bigint, c bigint, d bigint, id bigint, th bigint, start int, n int")
@@ -180,6 +167,7 @@ def repeated_windows(source: DataFrame, coder: Callable[[bytes], Units], w: int,
     spans = covered.unionByName(more.select("id", "th", F.col("pos").alias("start"), F.lit(1).alias("n")))
     done = common.settled(spans.groupBy("id", "th").agg(F.collect_list(F.struct("start", "n")).alias("spans")), "spans")
     common.dropped(found, classes, several, single, repeats)
+    common.shrink_heaps(source.sparkSession)
     return done
 
 

@@ -250,6 +250,21 @@ def test_ngram_join_defined_cases(docs, rows, empty, doubled):
         ngram_join.link_components(doubled, id_col="id")
 
 
+def test_words_of_texts(monkeypatch):
+    """Words are those of bytes.split(), whatever texts are cut together and wherever a piece ends."""
+    r = random.Random(1)
+    for piece in (1 << 20, 37):
+        monkeypatch.setattr(common, "PIECE", piece)
+        texts = ["".join(r.choice(["a", "b", " ", "\n", "é", "xyz", " \t", "日"]) for _ in range(r.randrange(0, 120))).encode() for _ in range(200)]
+        codes = {}
+        for data, w in zip(texts, common.words(texts), strict=True):
+            assert [w.raw[a:b] for a, b in zip(w.begin, w.end, strict=True)] == data.split()
+            for word, code in zip(data.split(), w.codes.tolist(), strict=True):
+                assert codes.setdefault(word, code) == code
+        assert len(set(codes.values())) == len(codes)
+    assert common.words([]) == [] and [len(w.codes) for w in common.words([b"", b" ", b"a"])] == [0, 0, 1]
+
+
 def thue_morse(n: int, a: str, b: str) -> str:
     return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
 
@@ -320,7 +335,7 @@ def test_substring_dedup(docs, rows, w, k):
 def test_windows_in_chunks(docs, rows, monkeypatch):
     from tarnlens.llm import windows
 
-    units = substring_dedup.word_units(("a b c d e f g " * 50).encode())
+    (units,) = substring_dedup.word_units([("a b c d e f g " * 50).encode()])
     whole = [x[0].tolist() for x in windows.blocks(units, 20, 10)]
     monkeypatch.setattr(windows, "CHUNK", 37)
     parts = list(windows.blocks(units, 20, 10))
