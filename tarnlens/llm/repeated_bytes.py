@@ -18,9 +18,10 @@ from . import common, windows
 
 WINDOW = 400
 GRAM = 320
-#: Shorter strings that occur again are reported, not removed: a passage of 50 words has some 300 bytes.
-REPORT = 240
-REPORT_GRAM = 128
+#: Shorter strings that occur again are reported, not removed: a passage of 50 words has some 300 bytes. Every one of REPORT
+#: bytes is found, by a winnowed gram of REPORT_GRAM bytes in it.
+REPORT = 300
+REPORT_GRAM = 200
 
 
 def byte_units(datas: list[bytes]) -> list[windows.Units]:
@@ -60,19 +61,19 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, repo
     """Rows (doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_repeated, kept_bytes), one per input row.
 
     A byte goes if a string of `window` bytes that covers it also starts anywhere else, in the same document or another.
-    n_repeated counts the bytes that a string of `report` bytes covers which also starts anywhere else; they stay, and with
-    report 0 it is null. Null and empty texts have no bytes. Rows that repeat an id are occurrences like any others; equal
+    n_repeated counts the bytes that repeated winnowed grams of `report_gram` bytes cover: at least that many of every string of
+    `report` bytes or more that occurs again, nothing of strings under `report_gram`. They stay; with report 0 it is null. Null and empty texts have no bytes. Rows that repeat an id are occurrences like any others; equal
     rows of one id lose what they share. Ids are integers or null; other types raise TypeError. Other columns are ignored,
     whatever their names; an empty table gives an empty result. What is left of a text may split a character, so it is
     binary; without with_bytes it is null.
     """
     source = windows.keyed(docs, id_col, text_col)
     spans = windows.repeated_windows(source, byte_units, window, gram, keep_first=False)
-    shorter = windows.repeated_windows(source, byte_units, report, report_gram, keep_first=False) if report else spans.limit(0)
+    shorter = windows.repeated_grams(source, byte_units, report, report_gram) if report else spans.limit(0)
     kind = dict(docs.dtypes)[id_col]
     texts = docs.select(F.col(id_col).alias("_id"), common.integer_id(docs, id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
     whole = texts.join(spans, ["id", "th"], "left").join(shorter.withColumnRenamed("spans", "reported"), ["id", "th"], "left").select(F.col("_id").alias("id"), "text", "spans", "reported")
-    done = common.arrow_map(whole, _keep(window, report, with_bytes), f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_repeated bigint, kept_bytes binary")
+    done = common.arrow_map(whole, _keep(window, report_gram if report else 0, with_bytes), f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_repeated bigint, kept_bytes binary")
     return done.withColumnRenamed("id", id_col)
 
 

@@ -171,6 +171,46 @@ def repeated_windows(source: DataFrame, coder: Callable[[list[bytes]], list[Unit
     return done
 
 
+#: Low bits of a gram's hash that give way to its place, so that the smallest hash tells where it stands.
+_PLACE = U((1 << 20) - 1)
+
+
+def winnowed(codes: np.ndarray, w: int, k: int) -> Iterator[np.ndarray]:
+    """Places of the grams of k codes that are the smallest by hash, the last of equal ones, in some window of w codes."""
+    for at in range(0, len(codes) - w + 1, CHUNK):
+        grams = gram_hashes(codes[at : at + CHUNK + w - 1], k)
+        least = window_minima((grams & ~_PLACE) | (_PLACE - np.arange(len(grams), dtype=U)), w - k + 1)
+        changed = np.concatenate((np.ones(1, bool), least[1:] != least[:-1]))
+        yield at + (_PLACE - (least[changed] & _PLACE)).astype(np.int64)
+
+
+def _gram_rows(coder: Callable[[list[bytes]], list[Units]], w: int, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            places, content = [], []
+            for units in coder([common.utf8(t) for t in b.column("text").to_pylist()]):
+                found = [np.zeros(0, np.int64), *winnowed(units.codes, w, k)]
+                places.append(np.unique(np.concatenate(found)))
+                content.append(units.digests(places[-1], places[-1] + k)[:, 0])
+            took = pa.array(np.repeat(np.arange(b.num_rows), [len(p) for p in places]))
+            none = [np.zeros(0, np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(content or none)), b.column("id").take(took), b.column("th").take(took), pa.array(np.concatenate(places or none).astype(np.int32))], names=["c", "id", "th", "start"])
+
+    return run
+
+
+def repeated_grams(source: DataFrame, coder: Callable[[list[bytes]], list[Units]], w: int, k: int) -> DataFrame:
+    """Rows (id, th, spans array<struct<start,n>>) of the winnowed grams of k units that occur again, told by a 64-bit hash of
+    their content. Every string of w units or more that occurs again holds such a gram at the same place; shorter ones that
+    hold a gram may. One round, so it costs less than repeated_windows(). The result is a written table."""
+    grams = common.arrow_map(source, _gram_rows(coder, w, k), "c bigint, id bigint, th bigint, start int")
+    again = common.settled(grams.groupBy("c").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("c"), "grams")
+    found = grams.join(again, "c").groupBy("id", "th").agg(F.collect_list(F.struct("start", F.lit(1).alias("n"))).alias("spans"))
+    done = common.settled(found, "reported")
+    common.dropped(again)
+    return done
+
+
 def coverage(length: int, start: np.ndarray, n: np.ndarray, w: int) -> np.ndarray:
     """Which of `length` units lie in a window that starts in one of the runs."""
     edge = np.zeros(length + 1, np.int32)
