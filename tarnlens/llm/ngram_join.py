@@ -13,13 +13,15 @@ To bring together what can be linked at all, without all pairs:
    all documents fill, are left out of the parts, so a passage that very many documents hold brings none of them together.
    Sets that share signatures form candidate groups.
 3. A group is searched in chunks of bounded size. A pair that is known to be connected isn't searched again. Chunks are
-   joined by one representative of each component found; then every set outside its group's largest component is searched
+   joined by one representative of each component found. Groups that are still in several components are split again by
+   signatures of other seeds, and what is left of them is searched whole: every set outside its group's largest component
    against all chunks, in blocks. So no link between components is lost, and no group meets in one task.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 import zlib
 from collections.abc import Iterator
@@ -98,8 +100,8 @@ class Threshold:
         return differ + spare, spare
 
 
-def signatures(s: np.ndarray, threshold: Threshold, common_ones: np.ndarray | None = None) -> np.ndarray:
-    """Hashes such that linked sets have one in common at least.
+def signatures(s: np.ndarray, threshold: Threshold, common_ones: np.ndarray | None = None, seed: int = 0) -> np.ndarray:
+    """Hashes such that linked sets have one in common at least, whatever the seed by which shingles are dealt.
 
     Shingles that common_ones (flags by counter) marks are left out of the parts: sets differ no more in what is left.
     """
@@ -111,7 +113,7 @@ def signatures(s: np.ndarray, threshold: Threshold, common_ones: np.ndarray | No
     out = []
     for band in (own, own - 1) if own else (own,):
         k, spare = threshold.parts(band)
-        part = (mix(s + np.uint64(band + 1)) >> np.uint64(32)).astype(np.int64) % k
+        part = (mix(s + np.uint64((seed << 32) + band + 1)) >> np.uint64(32)).astype(np.int64) % k
         order = np.argsort(part, kind="stable")
         dealt = part[order]
         first = np.flatnonzero(np.concatenate((np.ones(min(1, len(s)), bool), dealt[1:] != dealt[:-1])))
@@ -276,6 +278,42 @@ def _signed(n: int, percent: int, common_ones):
     return run
 
 
+def _resigned(percent: int, common_ones, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        threshold = Threshold(percent)
+        for b in batches:
+            found = [signatures(np.frombuffer(x, np.uint64), threshold, common_ones.value, seed) for x in b.column("shingles").to_pylist()]
+            took = pa.array(np.repeat(np.arange(b.num_rows), [len(f) for f in found]))
+            yield pa.RecordBatch.from_arrays([b.column("part").take(took), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)), b.column("id").take(took), b.column("label").take(took)], names=["part", "signature", "id", "label"])
+
+    return run
+
+
+def several_labels(told: DataFrame) -> DataFrame:
+    """Of rows with part and label those of parts with several labels, with the part's most frequent label as main."""
+    most = told.groupBy("part", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("part").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.count(F.lit(1)).alias("kinds"))
+    return common.settled(told.join(common.settled(most.filter("kinds > 1").select("part", "main"), "main"), "part"), "told")
+
+
+def split_again(told: DataFrame, percent: int, common_ones) -> DataFrame:
+    """Parts split by signatures of other seeds, as long as that at least halves them: linked sets share one by every seed, so
+    sets that only chains of accidents brought together come apart, and no link is lost. A set that meets none of another
+    label is left out."""
+    size, columns = told.count(), [c for c in told.columns if c not in ("part", "main")]
+    for seed in itertools.count(1):
+        signed = common.arrow_map(told.select("part", "id", "label", "shingles"), _resigned(percent, common_ones, seed), "part bigint, signature bigint, id bigint, label bigint")
+        key = ["part", "signature"]
+        shared = signed.groupBy(*key).agg(F.min("id").alias("lead"), F.min("label").alias("low"), F.max("label").alias("high")).filter("high > low").select(*key, "lead")
+        led = signed.join(common.settled(shared, "shared"), key).groupBy("id").agg(F.collect_set("lead").alias("leads"))
+        parts = components(common.arrow_map(led, _chained, "a bigint, b bigint"))
+        left = several_labels(told.select(*columns).join(parts.select(F.col("node").alias("id"), F.col("label").alias("part")), "id"))
+        was, size = size, left.count()
+        told = left
+        if not size or 2 * size > was:
+            return told
+    raise AssertionError
+
+
 def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A set and the leads of its signatures are connected if each is connected to the next: most of those pairs are the same for many sets."""
     seen: set[tuple[int, int]] = set()
@@ -344,9 +382,10 @@ def link_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
         links = common.settled(first.unionByName(second), "links")
         labels = components(links).withColumnRenamed("node", "id")
         told = several.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        most = told.groupBy("part", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("part").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.count(F.lit(1)).alias("kinds"))
-        told = common.settled(told.join(common.settled(most.filter("kinds > 1"), "main"), "part"), "told")
+        told = several_labels(told.drop("chunk", "chunks"))
         if told.limit(1).count():
+            told = _chunked(split_again(told, percent, common_ones))
+            told = common.settled(told, "chunked")
             asked = told.filter("label <> main")
             blocks = common.settled(asked.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / CHUNK_SETS).alias("blocks")), "blocks")
             to = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1))

@@ -237,6 +237,21 @@ def test_ngram_join_in_chunks(spark, monkeypatch):
     assert {i: r.component_id for i, r in by_id(ngram_join.link_components(docs, 3, 90)).items()} == brute.components(sets, 90)
 
 
+def test_groups_of_unlike_sets_are_split_again(spark, monkeypatch):
+    """Short texts of few words meet by accident in one large group; all links are found, and the last search is small."""
+    r = random.Random(9)
+    table = [(i, " ".join(r.sample("abcdefghijklmnop", 6))) for i in range(400)]
+    monkeypatch.setattr(ngram_join, "CHUNK_SETS", 8)
+    left, whole = [], ngram_join.split_again
+    monkeypatch.setattr(ngram_join, "split_again", lambda told, *a: left.append((told.count(), (out := whole(told, *a)).count())) or out)
+    docs = spark.createDataFrame(table, "doc_id bigint, text string")
+    sets = {i: brute.shingles(t, 1) for i, t in table}
+    for percent in (70, 60):
+        got = by_id(ngram_join.link_components(docs, 1, percent))
+        assert {i: x.component_id for i, x in got.items()} == brute.components(sets, percent)
+    assert left and all(after <= before for before, after in left)
+
+
 def test_ngram_join_defined_cases(docs, rows, empty, doubled):
     assert ngram_join.link_components(empty).count() == 0
     got = ngram_join.link_components(doubled, 3, 90).collect()
