@@ -22,6 +22,8 @@ def components(edges: DataFrame) -> DataFrame:
         jump = hooked.select(F.col("node").alias("label"), F.col("label").alias("next"))
         moved = common.settled(hooked.join(jump, "label").select("node", "was", F.col("next").alias("label")), "labels")
         changed = moved.filter("was <> label").limit(1).count()
+        common.dropped(hooked)
         labels = moved.select("node", "label")
         if not changed:
+            common.dropped(both)
             return labels

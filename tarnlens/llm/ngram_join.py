@@ -36,8 +36,9 @@ from . import common
 from .common import mix
 from .components import components
 
-#: Sets and shingles to a chunk.
-CHUNK_SETS, CHUNK_SHINGLES = 64, 1 << 20
+#: Sets and shingles to a chunk, and sets to a chunk or block of the last search: it compares all of them anyway, and larger
+#: chunks meet fewer blocks, each with a copy of their sets.
+CHUNK_SETS, CHUNK_SHINGLES, ACROSS_SETS = 64, 1 << 20, 2048
 #: Counters of shingles, a power of two, and the pieces that they are added up in.
 COUNTERS, SEGMENTS = 1 << 19, 32
 #: Times the mean count from which on a shingle is very common.
@@ -295,13 +296,13 @@ def several_labels(told: DataFrame) -> DataFrame:
     return common.settled(told.join(common.settled(most.filter("kinds > 1").select("part", "main"), "main"), "part"), "told")
 
 
-def split_again(told: DataFrame, percent: int, common_ones) -> DataFrame:
+def split_again(told: DataFrame, known: DataFrame, percent: int, common_ones) -> DataFrame:
     """Parts split by signatures of other seeds, as long as that at least halves them: linked sets share one by every seed, so
     sets that only chains of accidents brought together come apart, and no link is lost. A set that meets none of another
-    label is left out."""
+    label is left out. known has the shingles of each id."""
     size, columns = told.count(), [c for c in told.columns if c not in ("part", "main")]
     for seed in itertools.count(1):
-        signed = common.arrow_map(told.select("part", "id", "label", "shingles"), _resigned(percent, common_ones, seed), "part bigint, signature bigint, id bigint, label bigint")
+        signed = common.arrow_map(told.join(known, "id").select("part", "id", "label", "shingles"), _resigned(percent, common_ones, seed), "part bigint, signature bigint, id bigint, label bigint")
         key = ["part", "signature"]
         shared = signed.groupBy(*key).agg(F.min("id").alias("lead"), F.min("label").alias("low"), F.max("label").alias("high")).filter("high > low").select(*key, "lead")
         led = signed.join(common.settled(shared, "shared"), key).groupBy("id").agg(F.collect_set("lead").alias("leads"))
@@ -336,10 +337,15 @@ def _shingled(n: int):
     return run
 
 
-def _chunked(rows: DataFrame, by: str = "part") -> DataFrame:
-    """Add chunk and chunks: each group's sets dealt by hash into chunks of a bounded number of sets and shingles."""
-    sizes = common.settled(rows.groupBy(by).agg(F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK_SETS), F.ceil(F.sum("size") / CHUNK_SHINGLES)).alias("chunks")), "chunks")
-    return rows.join(sizes, by).withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(7)), F.col("chunks")))
+def chunk_counts(rows: DataFrame, by: str, sets: int, out: str = "chunks") -> DataFrame:
+    """(by, out) of the groups that need several chunks of so many sets and of CHUNK_SHINGLES shingles: a small table."""
+    need = F.greatest(F.ceil(F.count(F.lit(1)) / sets), F.ceil(F.sum("size") / CHUNK_SHINGLES))
+    return common.settled(rows.groupBy(by).agg(need.alias(out)).filter(F.col(out) > 1), out)
+
+
+def dealt(rows: DataFrame, counts: DataFrame, by: str = "part", count: str = "chunks", to: str = "chunk", salt: int = 7) -> DataFrame:
+    """Each group's sets dealt by hash into its chunks; a group that isn't listed has one."""
+    return rows.join(counts, by, "left").withColumn(count, F.coalesce(count, F.lit(1).cast("bigint"))).withColumn(to, F.pmod(F.xxhash64("id", F.lit(salt)), F.col(count)))
 
 
 def link_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -369,32 +375,34 @@ def link_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     groups = components(common.arrow_map(led, _chained, "a bigint, b bigint"))
     told = groups.select(F.col("node").alias("id"), F.col("label").alias("part"))
     sets = common.arrow_map(source.join(told, "id").select("id", "text", "part"), _shingled(n), "id bigint, part bigint, size bigint, shingles binary")
-    sets = common.settled(_chunked(common.settled(sets, "sets")), "chunked")
+    sets = common.settled(sets, "sets")
+    common.dropped(shared)
+    known = sets.select("id", "shingles")
 
     edge = "a bigint, b bigint"
-    first = common.settled(sets.groupBy("part", "chunk").applyInArrow(_within(percent), edge), "within").distinct()
-    several = sets.filter("chunks > 1")
+    counts = chunk_counts(sets, "part", CHUNK_SETS)
+    first = common.settled(dealt(sets, counts).groupBy("part", "chunk").applyInArrow(_within(percent), edge).distinct(), "within")
+    several = sets.drop("shingles").join(counts.select("part"), "part")
     links = first
     if several.limit(1).count():
         # one representative of each component of each chunk
-        ones = several.drop("chunk", "chunks").join(first.select(F.col("b").alias("id")).distinct(), "id", "left_semi")
-        second = common.settled(_chunked(ones).groupBy("part", "chunk").applyInArrow(_within(percent), edge), "between")
+        ones = sets.join(counts.select("part"), "part").join(first.select(F.col("b").alias("id")).distinct(), "id", "left_semi")
+        second = dealt(ones, chunk_counts(ones, "part", CHUNK_SETS)).groupBy("part", "chunk").applyInArrow(_within(percent), edge)
         links = common.settled(first.unionByName(second), "links")
         labels = components(links).withColumnRenamed("node", "id")
-        told = several.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        told = several_labels(told.drop("chunk", "chunks"))
+        told = several_labels(several.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")))
         if told.limit(1).count():
-            told = _chunked(split_again(told, percent, common_ones))
-            told = common.settled(told, "chunked")
+            told = split_again(told, known, percent, common_ones)
             asked = told.filter("label <> main")
-            blocks = common.settled(asked.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / CHUNK_SETS).alias("blocks")), "blocks")
-            to = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1))
-            queries = asked.join(blocks, "part").withColumn("block", F.pmod(F.xxhash64("id", F.lit(11)), F.col("blocks"))).drop("chunk").withColumn("chunk", to("chunks"))
-            index = told.join(blocks, "part").withColumn("block", to("blocks"))
+            chunks, blocks = chunk_counts(told, "part", ACROSS_SETS), chunk_counts(asked, "part", ACROSS_SETS, "blocks")
+            every = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(c, F.lit(1).cast("bigint")) - 1))
             mine = ["part", "chunk", "block", "label", "shingles"]
+            index = dealt(told.join(asked.select("part").distinct(), "part", "left_semi").join(known, "id"), chunks).join(blocks, "part", "left").withColumn("block", every("blocks"))
+            queries = dealt(asked.join(known, "id"), blocks, count="blocks", to="block", salt=11).join(chunks, "part", "left").withColumn("chunk", every("chunks"))
             met = index.select(*mine, F.lit(False).alias("asked")).unionByName(queries.select(*mine, F.lit(True).alias("asked")))
-            third = common.settled(met.groupBy("part", "chunk", "block").applyInArrow(_across(percent), edge), "across")
-            links = links.unionByName(third)
+            third = met.groupBy("part", "chunk", "block").applyInArrow(_across(percent), edge)
+            links = common.settled(links.unionByName(third), "across")
+    common.dropped(sets)
     # an id whose rows have different texts is one node: it ties their classes together
     tied = held.unionByName(reps.join(held.select("id").distinct(), "id", "left_semi").select("id", F.col("id").alias("rep")))
     apart = tied.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).filter("last > a").select("id", "a")
