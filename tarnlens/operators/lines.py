@@ -28,11 +28,19 @@ def rendered_context(lines: Column, at: Column, around: int = 3) -> Column:
     return F.array_join(shown, "\n")
 
 
-def matched_rules(text: str, rules: list[tuple[str, str]]) -> Column:
-    """The ids of the rules whose pattern a text matches, in order: all rules in one pass over the table."""
-    return F.array_compact(F.array(*(F.when(F.col(text).rlike(pattern), F.lit(name)) for name, pattern in rules)))
+def matched_rules(text: str, rules: list[tuple]) -> Column:
+    """The ids of the rules that a text matches, in order: all rules in one pass over the table.
 
+    A rule is (id, pattern) or (id, pattern, literal): a text without the literal can't match and is spared the pattern.
+    """
 
-def scan(df: DataFrame, key: str, text: str, rules: list[tuple[str, str]]) -> DataFrame:
+    def holds(pattern: str, literal: str | None = None) -> Column:
+        found = F.col(text).rlike(pattern)
+        return F.col(text).contains(literal) & found if literal else found
+
+    return F.array_compact(F.array(*(F.when(holds(*rest), F.lit(name)) for name, *rest in rules)))
+
+
+def scan(df: DataFrame, key: str, text: str, rules: list[tuple]) -> DataFrame:
     """(key, rule), one row per rule that matches."""
     return df.select(key, F.explode(matched_rules(text, rules)).alias("rule"))

@@ -203,6 +203,11 @@ def scores(findings: DataFrame, files: DataFrame) -> DataFrame:
     return files.select("file").join(counted, "file", "left").select("file", merge.deducted(F.coalesce("n", F.lit(0).cast("bigint"))).alias("score"))
 
 
+def scores_by_name(findings: DataFrame, files: DataFrame) -> DataFrame:
+    """(name, score) by file name alone, as summaries show them: of several files of one name that of the greatest path."""
+    return scores(findings, files).groupBy(T.basename("file").alias("name")).agg(F.max_by("score", "file").alias("score"))
+
+
 def analyze(spark: SparkSession, path: str, mode: str = "directory") -> DataFrame:
     """Findings of a folder of sources, merged, ranked and numbered."""
     return prioritize(findings(scan_sources(spark, path), mode))

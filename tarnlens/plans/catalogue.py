@@ -12,9 +12,9 @@ from tarnlens.plans.registry import ORACLE, QUERIES, query
 from tarnlens.sources.tables import dimension, table
 
 TOKEN = r'\btoken\s*=\s*"[0-9a-f]{40}"'
-#: Rule ids and patterns of the scans below.
-DOCUMENT_RULES = [("hex-token", TOKEN), ("mail", r"[a-z0-9.]+@[a-z0-9]+\.example\.com"), ("address", r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"), ("license", r"Licensed under")]
-PAGE_RULES = [("script", r"(?i)<script\b"), ("entity", r"&amp;"), ("comment", r"<!--")]
+#: Rule ids and patterns of the scans below, and a literal that a match needs.
+DOCUMENT_RULES = [("hex-token", TOKEN, "token"), ("mail", r"[a-z0-9.]+@[a-z0-9]+\.example\.com", ".example.com"), ("address", r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"), ("license", r"Licensed under", "Licensed under")]
+PAGE_RULES = [("script", r"(?i)<script\b"), ("entity", r"&amp;", "&amp;"), ("comment", r"<!--", "<!--")]
 #: Event types by priority; two of the dimension's eight never occur.
 EVENT_PRIORITY = [("error", 0), ("purchase", 1), ("signup", 2), ("click", 3), ("view", 4), ("refund", 5), ("login", 6), ("logout", 7)]
 _PRIORITY_SQL = ", ".join(f"('{t}', {p})" for t, p in EVENT_PRIORITY)
@@ -49,7 +49,7 @@ def secret_scan(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").filter(F.col("text").contains("token") & F.col("text").rlike(TOKEN)).select("doc_id", F.size(found).cast("bigint").alias("n_secrets"), F.element_at(found, 1).alias("first_secret"))
 
 
-_RULES_SQL = " UNION ALL ".join(f"SELECT 'documents' AS source, doc_id AS id, '{n}' AS rule FROM documents WHERE regexp_matches(text, '{p}')" for n, p in DOCUMENT_RULES) + " UNION ALL " + " UNION ALL ".join(f"SELECT 'pages' AS source, page_id AS id, '{n}' AS rule FROM pages WHERE regexp_matches(html, '{p}')" for n, p in PAGE_RULES)
+_RULES_SQL = " UNION ALL ".join(f"SELECT 'documents' AS source, doc_id AS id, '{n}' AS rule FROM documents WHERE regexp_matches(text, '{p}')" for n, p, *_ in DOCUMENT_RULES) + " UNION ALL " + " UNION ALL ".join(f"SELECT 'pages' AS source, page_id AS id, '{n}' AS rule FROM pages WHERE regexp_matches(html, '{p}')" for n, p, *_ in PAGE_RULES)
 
 
 @query(_RULES_SQL)

@@ -14,7 +14,7 @@ from tarnlens.plans import analysis, enrich, fixtures, report
 from tarnlens.plans.catalogue import values
 from tarnlens.plans.registry import query
 from tarnlens.sources import archive
-from tarnlens.sources.tables import dimension
+from tarnlens.sources.tables import dimension, put, scratch
 
 SOURCE = "file string, content string"
 
@@ -251,3 +251,36 @@ def contained_targets(spark: SparkSession, d: str) -> DataFrame:
 @query(values([("src/A.java",), ("B.java",)], ["VARCHAR"], ["file"]))
 def displayed_paths(spark: SparkSession, d: str) -> DataFrame:
     return archive.displayed(dimension(spark, [("file:/work/p/src/A.java",), ("/work/p/B.java",)], "file string"), "/work/p").select("file")
+
+
+@query(values([("Catalog.java", 80), ("Page.java", 80), ("Tools.java", 100), ("items.xml", 90)], ["VARCHAR", "BIGINT"], ["name", "score"]))
+def scores_by_name(spark: SparkSession, d: str) -> DataFrame:
+    """Scores by file name; of two files of one name the later path counts."""
+    files = dimension(spark, [*fixtures.SOURCES.items(), ("shop/z/Tools.java", "class Tools { }")], SOURCE)
+    return analysis.scores_by_name(analysis.prioritize(analysis.findings(files)), files)
+
+
+@query(values([("g-sql", 178)], ["VARCHAR", "INTEGER"], ["id", "page_start"]))
+def guideline_search(spark: SparkSession, d: str) -> DataFrame:
+    return guidelines.search(_guides(spark), "sql", 1).select("id", "page_start")
+
+
+@query(values([("src/A.java", 9, "java"), ("src/m.xml", 9, "mapper")], ["VARCHAR", "INTEGER", "VARCHAR"], ["file", "n_chars", "kind"]))
+def java_directory_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Java files of a folder, and of its XML files the mappers; other files, and XML that isn't UTF-8, are left out."""
+    root = scratch(spark, "sources")
+    for name, data in (("src/A.java", b"class A{}"), ("src/m.xml", b"<mapper/>"), ("src/pom.xml", b"<project/>"), ("src/bad.xml", b"<mapper>\xff</mapper>"), ("src/readme.txt", b"<mapper/>")):
+        put(spark, f"{root}/{name}", data)
+    found = analysis.scan_sources(spark, root)
+    name = F.regexp_extract("file", r"src/[^/]*$", 0)
+    return found.select(name.alias("file"), F.char_length("content").alias("n_chars"), F.when(F.lower("file").endswith(".java"), "java").otherwise("mapper").alias("kind"))
+
+
+@query(values([("one.zip", "src/A.java", "class A {}"), ("one.zip", "m.xml", "<mapper/>"), ("two.zip", "B.java", "class B {}")], ["VARCHAR"] * 3, ["archive", "file", "content"]))
+def archive_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Sources in archives, named from the one top folder where there is one."""
+    root = scratch(spark, "archives")
+    put(spark, f"{root}/one.zip", bytes(_zipped([("top/src/A.java", b"class A {}"), ("top/m.xml", b"<mapper/>"), ("top/x.xml", b"<x/>")])))
+    put(spark, f"{root}/two.zip", bytes(_zipped([("B.java", b"class B {}")])))
+    found = archive.read_archives(spark, root)
+    return found.select(F.regexp_extract("repo", r"[^/]*$", 0).alias("archive"), "file", "content")

@@ -31,6 +31,16 @@ def scratch(spark: SparkSession, label: str) -> str:
     return path
 
 
+def put(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write a small file to any store that Spark reaches."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
