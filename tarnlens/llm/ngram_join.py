@@ -13,8 +13,8 @@ To bring together what can be linked at all, without all pairs:
    all documents fill, are left out of the parts, so a passage that very many documents hold brings none of them together.
    Sets that share signatures form candidate groups.
 3. A group is searched in chunks of bounded size. A pair that is known to be connected isn't searched again. Chunks are
-   joined by one representative of each component found. Groups that are still in several components are split again by
-   signatures of other seeds, and what is left of them is searched whole: every set outside its group's largest component
+   joined by one representative of each component found. Groups that are still in several components, and large, are split again
+   by signatures of other seeds; what is left of all of them is searched whole: every set outside its group's largest component
    against all chunks, in blocks. So no link between components is lost, and no group meets in one task.
 """
 
@@ -38,7 +38,9 @@ from .components import components
 
 #: Sets and shingles to a chunk, and sets to a chunk or block of the last search: it compares all of them anyway, and larger
 #: chunks meet fewer blocks, each with a copy of their sets.
-CHUNK_SETS, CHUNK_SHINGLES, ACROSS_SETS = 64, 1 << 20, 2048
+CHUNK_SETS, CHUNK_SHINGLES, ACROSS_SETS = 64, 1 << 20, 1024
+#: Groups whose last search has more blocks than this are split again before it; in others that costs more than it saves.
+FEW_BLOCKS = 8
 #: Counters of shingles, a power of two, and the pieces that they are added up in.
 COUNTERS, SEGMENTS = 1 << 19, 32
 #: Times the mean count from which on a shingle is very common.
@@ -283,7 +285,7 @@ def _resigned(percent: int, common_ones, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         threshold = Threshold(percent)
         for b in batches:
-            found = [signatures(np.frombuffer(x, np.uint64), threshold, common_ones.value, seed) for x in b.column("shingles").to_pylist()]
+            found = [signatures(np.frombuffer(x, np.uint64), threshold, common_ones.value if common_ones else None, seed) for x in b.column("shingles").to_pylist()]
             took = pa.array(np.repeat(np.arange(b.num_rows), [len(f) for f in found]))
             yield pa.RecordBatch.from_arrays([b.column("part").take(took), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)), b.column("id").take(took), b.column("label").take(took)], names=["part", "signature", "id", "label"])
 
@@ -298,11 +300,12 @@ def several_labels(told: DataFrame) -> DataFrame:
 
 def split_again(told: DataFrame, known: DataFrame, percent: int, common_ones) -> DataFrame:
     """Parts split by signatures of other seeds, as long as that at least halves them: linked sets share one by every seed, so
-    sets that only chains of accidents brought together come apart, and no link is lost. A set that meets none of another
-    label is left out. known has the shingles of each id."""
+    sets that only chains of accidents brought together come apart, and no link is lost. Odd seeds leave no shingles out, so
+    sets of nothing but very common ones are told apart, too. A set that meets none of another label is left out. known has
+    the shingles of each id."""
     size, columns = told.count(), [c for c in told.columns if c not in ("part", "main")]
     for seed in itertools.count(1):
-        signed = common.arrow_map(told.join(known, "id").select("part", "id", "label", "shingles"), _resigned(percent, common_ones, seed), "part bigint, signature bigint, id bigint, label bigint")
+        signed = common.arrow_map(told.join(known, "id").select("part", "id", "label", "shingles"), _resigned(percent, None if seed % 2 else common_ones, seed), "part bigint, signature bigint, id bigint, label bigint")
         key = ["part", "signature"]
         shared = signed.groupBy(*key).agg(F.min("id").alias("lead"), F.min("label").alias("low"), F.max("label").alias("high")).filter("high > low").select(*key, "lead")
         led = signed.join(common.settled(shared, "shared"), key).groupBy("id").agg(F.collect_set("lead").alias("leads"))
@@ -310,18 +313,19 @@ def split_again(told: DataFrame, known: DataFrame, percent: int, common_ones) ->
         left = several_labels(told.select(*columns).join(parts.select(F.col("node").alias("id"), F.col("label").alias("part")), "id"))
         was, size = size, left.count()
         told = left
-        if not size or 2 * size > was:
+        if not size or (seed > 1 and 2 * size > was):
             return told
     raise AssertionError
 
 
 def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A set and the leads of its signatures are connected if each is connected to the next: most of those pairs are the same for many sets."""
+    """A set and the leads of its signatures are connected if each is to the smallest of them: most of those pairs are the
+    same for many sets, and paths stay short."""
     seen: set[tuple[int, int]] = set()
     for b in batches:
         for own, leads in zip(b.column("id").to_pylist(), b.column("leads").to_pylist(), strict=True):
-            chain = sorted({own, *leads})
-            seen.update(zip(chain, chain[1:]))
+            least = min(own, *leads)
+            seen.update((least, x) for x in (own, *leads) if x != least)
         if len(seen) > 100_000:
             yield from _edges(sorted(seen)).to_batches()
             seen.clear()
@@ -392,9 +396,14 @@ def link_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
         labels = components(links).withColumnRenamed("node", "id")
         told = several_labels(several.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")))
         if told.limit(1).count():
-            told = split_again(told, known, percent, common_ones)
+            blocks = chunk_counts(told.filter("label <> main"), "part", ACROSS_SETS, "blocks")
+            large = blocks.filter(F.col("blocks") > FEW_BLOCKS).select("part")
+            if large.limit(1).count():
+                rest = told.join(large, "part", "left_anti")
+                told = rest.unionByName(split_again(told.join(large, "part", "left_semi"), known, percent, common_ones).select(*rest.columns))
+                blocks = chunk_counts(told.filter("label <> main"), "part", ACROSS_SETS, "blocks")
             asked = told.filter("label <> main")
-            chunks, blocks = chunk_counts(told, "part", ACROSS_SETS), chunk_counts(asked, "part", ACROSS_SETS, "blocks")
+            chunks = chunk_counts(told, "part", ACROSS_SETS)
             every = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(c, F.lit(1).cast("bigint")) - 1))
             mine = ["part", "chunk", "block", "label", "shingles"]
             index = dealt(told.join(asked.select("part").distinct(), "part", "left_semi").join(known, "id"), chunks).join(blocks, "part", "left").withColumn("block", every("blocks"))

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from . import common
 
 MARK = "▁"
-#: Segments that a worker keeps.
-KEPT = 400_000
+#: Segments that a worker keeps, and as many older ones.
+KEPT = 300_000
 
 
 class CharacterMap:
@@ -89,6 +89,7 @@ class Encoder:
         self.decimal = [str(i) for i in range(len(model.pieces))]
         self.bare = [self.sp.piece_to_id(MARK)]
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.code, self.width = ("H", 2) if len(model.pieces) <= 1 << 16 else ("I", 4)
         self._cut = re.compile(f"[ {MARK}]*[^ {MARK}]+|[ {MARK}]+").findall
 
@@ -153,14 +154,21 @@ class Encoder:
         return first, [s[1:] for s in rest]
 
     def _learn(self, cuts: list[list[str]]) -> None:
-        """Encode in few calls what isn't known yet of some texts' segments."""
-        kept = self.kept
-        missing = list(set().union(*cuts).difference(kept))
-        if len(kept) + len(missing) > KEPT:
-            kept.clear()
-            missing = list(set().union(*cuts))
-        for at in range(0, len(missing), 10_000):
-            some = missing[at : at + 10_000]
+        """Encode in few calls what isn't known yet of some texts' segments. When enough is known, what has been met since the
+        last time becomes the older half of the memory, and what isn't met again goes with it."""
+        asked = set().union(*cuts)
+        missing = asked.difference(self.kept)
+        if len(self.kept) + len(missing) > KEPT:
+            self.older, self.kept, missing = self.kept, {}, asked
+        kept, older, new = self.kept, self.older, []
+        for s in missing:
+            ids = older.get(s)
+            if ids is None:
+                new.append(s)
+            else:
+                kept[s] = ids
+        for at in range(0, len(new), 10_000):
+            some = new[at : at + 10_000]
             for s, ids in zip(some, self.sp.encode(some, num_threads=1), strict=True):
                 kept[s] = array(self.code, ids or self.bare).tobytes()
 

@@ -12,6 +12,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -62,13 +63,19 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if re.match("file:/[^/]", uri) else uri)
 
 
-def squeezed(ids: bytes, level: int = 3) -> bytes:
+@lru_cache(maxsize=1)
+def _codecs() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    """One pair to a worker: most pieces are a few KB, and setting up a codec for each costs more than using it."""
+    return zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+
+
+def squeezed(ids: bytes) -> bytes:
     """Ids on their way between stages. As they stand they compress better than by byte planes: words come again."""
-    return zstandard.compress(ids, level)
+    return _codecs()[0].compress(ids)
 
 
 def unsqueezed(data: bytes) -> bytes:
-    return zstandard.decompress(data)
+    return _codecs()[1].decompress(data)
 
 
 def _tokens(path: str, end_id: int):
@@ -80,7 +87,7 @@ def _tokens(path: str, end_id: int):
         end = end_id.to_bytes(width, "little")
         for b in batches:
             ids = enc.packed(b.column("text").to_pylist(), end)
-            yield common.batch(["part", "at", "n", "ids"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()], [[part], [at], [len(ids) // width], [squeezed(ids, 6)]])
+            yield common.batch(["part", "at", "n", "ids"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()], [[part], [at], [len(ids) // width], [squeezed(ids)]])
             at += len(ids) // width
 
     return run

@@ -242,7 +242,8 @@ def test_groups_of_unlike_sets_are_split_again(spark, monkeypatch):
     r = random.Random(9)
     table = [(i, " ".join(r.sample("abcdefghijklmnop", 6))) for i in range(400)]
     monkeypatch.setattr(ngram_join, "CHUNK_SETS", 8)
-    monkeypatch.setattr(ngram_join, "ACROSS_SETS", 32)
+    monkeypatch.setattr(ngram_join, "ACROSS_SETS", 16)
+    monkeypatch.setattr(ngram_join, "FEW_BLOCKS", 1)
     left, whole = [], ngram_join.split_again
     monkeypatch.setattr(ngram_join, "split_again", lambda told, *a: left.append((told.count(), (out := whole(told, *a)).count())) or out)
     docs = spark.createDataFrame(table, "doc_id bigint, text string")
