@@ -19,6 +19,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ from . import common
 MARK = "▁"
 #: Segments that a worker keeps, and as many older ones.
 KEPT = 300_000
+#: Characters of a text up to which it is looked up together with others.
+TOGETHER = 1 << 22
 
 
 class CharacterMap:
@@ -145,18 +148,9 @@ class Encoder:
         ends = self._spans([(p.piece, self.sp.is_byte(p.id)) for p in proto.pieces], align)
         return Encoding(ids, ends, ends[-1] if ends else 0)
 
-    def _segments(self, text: str) -> tuple[str | None, list[str]]:
-        """A text cut where no piece reaches across: what has to be encoded by itself, and segments that each stand behind
-        one space mark. The dummy prefix is such a mark, so a text of words with single blanks is segments throughout."""
-        if MARK not in text and "  " not in text and text[0] != " " and text[-1] != " ":
-            return None, text.split(" ")
-        first, *rest = self._cut(text)
-        return first, [s[1:] for s in rest]
-
-    def _learn(self, cuts: list[list[str]]) -> None:
-        """Encode in few calls what isn't known yet of some texts' segments. When enough is known, what has been met since the
-        last time becomes the older half of the memory, and what isn't met again goes with it."""
-        asked = set().union(*cuts)
+    def _learn(self, asked: set[str]) -> None:
+        """Encode in few calls what isn't known yet of some segments. When enough is known, what has been met since the last
+        time becomes the older half of the memory, and what isn't met again goes with it."""
         missing = asked.difference(self.kept)
         if len(self.kept) + len(missing) > KEPT:
             self.older, self.kept, missing = self.kept, {}, asked
@@ -175,18 +169,47 @@ class Encoder:
     def packed(self, texts: list[str | None], end: bytes) -> bytes:
         """The ids of whole texts as little-endian integers of two bytes (four, for a vocabulary beyond 65,536), each text ended by `end`.
 
-        Texts are cut where no piece reaches across, and a segment that comes again isn't encoded again.
+        Texts are cut where no piece reaches across, and a segment that comes again isn't encoded again. Each segment stands
+        behind one space mark, and the dummy prefix is such a mark, so a text of words with single blanks is segments
+        throughout: such texts are looked up together.
         """
         if not self.separable:
             return b"".join(array(self.code, self.sp.encode(t or "")).tobytes() + end for t in texts)
-        cuts, out = [self._segments(t) if t else (None, []) for t in texts], []
-        self._learn([rest for _, rest in cuts])
-        for first, rest in cuts:
-            if first is not None:
-                out.append(array(self.code, self.sp.encode(first)).tobytes())
-            out += map(self.kept.__getitem__, rest)
-            out.append(end)
-        return b"".join(out)
+        plain = [t for t in texts if t and self._single(t)]
+        looked = iter(self._looked_up(plain, end))
+        return b"".join(next(looked) if t and self._single(t) else self._cut_up(t) + end for t in texts)
+
+    @staticmethod
+    def _single(text: str) -> bool:
+        return len(text) <= TOGETHER and MARK not in text and "  " not in text and text[0] != " " and text[-1] != " "
+
+    def _cut_up(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        first, *rest = self._cut(text)
+        rest = [s[1:] for s in rest]
+        self._learn(set(rest))
+        return array(self.code, self.sp.encode(first)).tobytes() + b"".join(map(self.kept.__getitem__, rest))
+
+    def _looked_up(self, texts: list[str], end: bytes) -> Iterator[bytes]:
+        if not texts:
+            return
+        words = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        coded = words.flatten().dictionary_encode()
+        known = coded.dictionary.to_pylist()
+        self._learn(set(known))
+        pieces = list(map(self.kept.__getitem__, known))
+        kind = np.dtype(f"<u{self.width}")
+        flat = np.frombuffer(b"".join(pieces), kind)
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // self.width
+        index = coded.indices.to_numpy()
+        taken = size[index]
+        after = np.cumsum(taken)
+        ids = flat[np.repeat((np.cumsum(size) - size)[index] - (after - taken), taken) + np.arange(int(after[-1]))]
+        edges = np.concatenate((np.zeros(1, np.int64), after))[words.offsets.to_numpy()].tolist()
+        data = ids.tobytes()
+        for a, b in zip(edges, edges[1:]):
+            yield data[a * self.width : b * self.width] + end
 
     def decode(self, ids: list[int]) -> str:
         return self.sp.decode(ids)
