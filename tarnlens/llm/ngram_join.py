@@ -11,7 +11,8 @@ To bring together what can be linked at all, without all pairs:
    least is equal in both (the pigeonhole principle), so each non-empty part is a signature. The size bands and the
    catch-all for sets with very many empty parts keep this exact. Very common shingles, by counters of a fixed number that
    all documents fill, are left out of the parts, so a passage that very many documents hold brings none of them together.
-   Sets that share signatures form candidate groups.
+   Sets that share signatures, as many of a band as linked sets must, form candidate groups: T-occurrence once more, as a
+   set that met others by accident shares a few.
 3. A group is searched in chunks of bounded size. A pair that is known to be connected isn't searched again. Chunks are
    joined by one representative of each component found. Groups that are still in several components, and large, are split again
    by signatures of other seeds; what is left of all of them is searched whole: every set outside its group's largest component
@@ -103,29 +104,44 @@ class Threshold:
         return differ + spare, spare
 
 
-def signatures(s: np.ndarray, threshold: Threshold, common_ones: np.ndarray | None = None, seed: int = 0) -> np.ndarray:
-    """Hashes such that linked sets have one in common at least, whatever the seed by which shingles are dealt.
+def signatures(s: np.ndarray, threshold: Threshold, common_ones: np.ndarray | None = None, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, and for each how many of its band two linked sets have in common at least, whatever the seed by which shingles
+    are dealt. The lowest bit tells a set's two bands apart.
 
-    Shingles that common_ones (flags by counter) marks are left out of the parts: sets differ no more in what is left.
+    Shingles that common_ones (flags by counter) marks are left out of the parts: sets differ no more in what is left. Of the
+    parts that are equal in linked sets at most a set's own empty ones bring no hash.
     """
     if not len(s):
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int32)
     own = threshold.band(len(s))
     if common_ones is not None:
         s = s[~common_ones[_counter(s)]]
-    out = []
+    out, needs = [], []
     for band in (own, own - 1) if own else (own,):
         k, spare = threshold.parts(band)
         part = (mix(s + np.uint64((seed << 32) + band + 1)) >> np.uint64(32)).astype(np.int64) % k
         order = np.argsort(part, kind="stable")
         dealt = part[order]
         first = np.flatnonzero(np.concatenate((np.ones(min(1, len(s)), bool), dealt[1:] != dealt[:-1])))
+        found = []
         if len(first):
             content = np.add.reduceat(mix(s[order] ^ np.uint64(0xA0761D6478BD642F)), first)
-            out.append(mix(content + mix(dealt[first].astype(np.uint64) + np.uint64((band + 1) << 32))))
-        if k - len(first) >= spare:
-            out.append(mix(np.array([(band + 1) << 32 | 0xFFFFFFFF], np.uint64)))
-    return np.concatenate(out).view(np.int64)
+            found.append(mix(content + mix(dealt[first].astype(np.uint64) + np.uint64((band + 1) << 32))))
+        empty = k - len(first)
+        if empty >= spare:
+            found.append(mix(np.array([(band + 1) << 32 | 0xFFFFFFFF], np.uint64)))
+        mine = np.concatenate(found)
+        out.append((mine & ~np.uint64(1)) | np.uint64(band & 1))
+        needs.append(np.full(len(mine), max(1, spare - empty), np.int32))
+    return np.concatenate(out).view(np.int64), np.concatenate(needs)
+
+
+def led_by(signed: DataFrame, shared: DataFrame, on: list[str]) -> DataFrame:
+    """(id, leads) of the sets that share as many signatures of a band as linked sets have in common at least; with fewer a
+    set has only met others by accident. shared has the smallest id of each signature that several sets have."""
+    met = signed.join(shared, on).groupBy("id", F.col("signature").bitwiseAND(F.lit(1)).alias("band"))
+    counted = met.agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need"), F.collect_set(F.when(F.col("id") != F.col("lead"), F.col("lead"))).alias("leads"))
+    return counted.filter("n >= need AND size(leads) > 0").select("id", "leads")
 
 
 def _counter(s: np.ndarray) -> np.ndarray:
@@ -275,19 +291,23 @@ def _signed(n: int, percent: int, common_ones):
         threshold = Threshold(percent)
         for b in batches:
             found = [signatures(s, threshold, common_ones.value) for s in shingle_sets(b.column("text").to_pylist(), n)]
-            took = np.repeat(np.arange(b.num_rows), [len(f) for f in found])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)), b.column("id").take(pa.array(took))], names=["signature", "id"])
+            yield _signature_rows(found, [b.column("id")], ["id"])
 
     return run
 
 
+def _signature_rows(found: list[tuple[np.ndarray, np.ndarray]], columns: list[pa.Array], names: list[str]) -> pa.RecordBatch:
+    took = pa.array(np.repeat(np.arange(len(found)), [len(f) for f, _ in found]))
+    both = [pa.array(np.concatenate([f[i] for f in found]) if found else np.zeros(0, k)) for i, k in ((0, np.int64), (1, np.int32))]
+    return pa.RecordBatch.from_arrays([*both, *(c.take(took) for c in columns)], names=["signature", "need", *names])
+
+
 def _resigned(percent: int, common_ones, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         threshold = Threshold(percent)
         for b in batches:
             found = [signatures(np.frombuffer(x, np.uint64), threshold, common_ones.value if common_ones else None, seed) for x in b.column("shingles").to_pylist()]
-            took = pa.array(np.repeat(np.arange(b.num_rows), [len(f) for f in found]))
-            yield pa.RecordBatch.from_arrays([b.column("part").take(took), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)), b.column("id").take(took), b.column("label").take(took)], names=["part", "signature", "id", "label"])
+            yield _signature_rows(found, [b.column(c) for c in ("part", "id", "label")], ["part", "id", "label"])
 
     return run
 
@@ -305,10 +325,10 @@ def split_again(told: DataFrame, known: DataFrame, percent: int, common_ones) ->
     the shingles of each id."""
     size, columns = told.count(), [c for c in told.columns if c not in ("part", "main")]
     for seed in itertools.count(1):
-        signed = common.arrow_map(told.join(known, "id").select("part", "id", "label", "shingles"), _resigned(percent, None if seed % 2 else common_ones, seed), "part bigint, signature bigint, id bigint, label bigint")
+        signed = common.arrow_map(told.join(known, "id").select("part", "id", "label", "shingles"), _resigned(percent, None if seed % 2 else common_ones, seed), "signature bigint, need int, part bigint, id bigint, label bigint")
         key = ["part", "signature"]
         shared = signed.groupBy(*key).agg(F.min("id").alias("lead"), F.min("label").alias("low"), F.max("label").alias("high")).filter("high > low").select(*key, "lead")
-        led = signed.join(common.settled(shared, "shared"), key).groupBy("id").agg(F.collect_set("lead").alias("leads"))
+        led = led_by(signed, common.settled(shared, "shared"), key)
         parts = components(common.arrow_map(led, _chained, "a bigint, b bigint"))
         left = several_labels(told.select(*columns).join(parts.select(F.col("node").alias("id"), F.col("label").alias("part")), "id"))
         was, size = size, left.count()
@@ -373,9 +393,9 @@ def link_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     held = common.settled(sized.join(classes, "digest").filter("id <> rep").select("id", "rep"), "held")
     copies = held.select("id").distinct().join(reps, "id", "left_anti")
     first_of_each = source.join(common.settled(copies, "copies"), "id", "left_anti")
-    signed = common.arrow_map(first_of_each, _signed(n, percent, common_ones), "signature bigint, id bigint")
+    signed = common.arrow_map(first_of_each, _signed(n, percent, common_ones), "signature bigint, need int, id bigint")
     shared = common.settled(signed.groupBy("signature").agg(F.min("id").alias("lead"), F.max("id").alias("last")).filter("last > lead").select("signature", "lead"), "shared")
-    led = signed.join(shared, "signature").filter("id <> lead").groupBy("id").agg(F.collect_set("lead").alias("leads"))
+    led = led_by(signed, shared, ["signature"])
     groups = components(common.arrow_map(led, _chained, "a bigint, b bigint"))
     told = groups.select(F.col("node").alias("id"), F.col("label").alias("part"))
     sets = common.arrow_map(source.join(told, "id").select("id", "text", "part"), _shingled(n), "id bigint, part bigint, size bigint, shingles binary")

@@ -333,7 +333,13 @@ def test_linked_sets_share_a_signature(percent):
             b = np.unique(np.concatenate((keep, r.integers(0, 1 << 63, int(r.integers(0, len(a) // 4 + 1)), dtype=np.uint64))))
             if t.linked(len(a), len(b), len(np.intersect1d(a, b))):
                 for common_ones in (None, flags, ~flags, flags | True):
-                    assert set(ngram_join.signatures(a, t, common_ones).tolist()) & set(ngram_join.signatures(b, t, common_ones).tolist())
+                    for seed in (0, 3):
+                        (x, need_x), (y, need_y) = (ngram_join.signatures(z, t, common_ones, seed) for z in (a, b))
+                        both = np.intersect1d(x, y)
+                        assert len(set(x.tolist())) == len(x)
+                        # in one band at least each of the two finds as many as it asks for
+                        enough = lambda z, need, bit: (both & 1 == bit).sum() >= need[z & 1 == bit].max(initial=1 << 30 if not (z & 1 == bit).any() else 0)
+                        assert any(enough(x, need_x, bit) and enough(y, need_y, bit) for bit in (0, 1))
 
 
 @pytest.mark.parametrize(("w", "k"), [(40, 32), (12, 5)])
