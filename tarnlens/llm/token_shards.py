@@ -8,6 +8,7 @@ global slot, with no table and no sort by a random key. Range partitions by shar
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -66,7 +67,7 @@ def _filesystem(uri: str):
 @lru_cache(maxsize=1)
 def _codecs() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
     """One pair to a worker: most pieces are a few KB, and setting up a codec for each costs more than using it."""
-    return zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def squeezed(ids: bytes) -> bytes:
@@ -85,10 +86,14 @@ def _tokens(path: str, end_id: int):
         enc, part, at = encoder(path), TaskContext.get().partitionId(), 0
         width = enc.width
         end = end_id.to_bytes(width, "little")
-        for b in batches:
-            ids = enc.packed(b.column("text").to_pylist(), end)
-            yield common.batch(["part", "at", "n", "ids"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()], [[part], [at], [len(ids) // width], [squeezed(ids)]])
-            at += len(ids) // width
+        gc.disable()  # what is made here are flat lists of texts and numbers, without cycles to be found
+        try:
+            for b in batches:
+                ids = enc.packed(b.column("text").to_pylist(), end)
+                yield common.batch(["part", "at", "n", "ids"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()], [[part], [at], [len(ids) // width], [squeezed(ids)]])
+                at += len(ids) // width
+        finally:
+            gc.enable()
 
     return run
 
