@@ -47,6 +47,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def uri_of(spark: SparkSession, path: str) -> str:
+    """The URI of a path as Spark resolves it: a bare one lies in the default file system."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hadoop).toUri().toASCIIString()
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

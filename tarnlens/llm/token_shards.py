@@ -206,4 +206,5 @@ def read_slots(out: str, start: int = 0) -> Iterator[np.ndarray]:
 def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return write_shards(common.table(spark, sf_dir, "documents"), common.scratch_path(spark, "shards"), public_tokenizers.path("piece_bpe_32k.model"))
+    out = common.uri_of(spark, common.scratch_path(spark, "shards"))
+    return write_shards(common.table(spark, sf_dir, "documents"), out, public_tokenizers.path("piece_bpe_32k.model"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import random
 import sys
@@ -118,6 +119,16 @@ def test_token_shards(spark, docs, rows, empty, tmp_path):
     assert token_shards.write_shards(empty, f"file://{tmp_path}/none", PIECE).count() == 0 and list(token_shards.read_slots(f"file://{tmp_path}/none")) == []
 
 
+def test_token_shards_below_a_bare_folder(spark, docs, tmp_path, monkeypatch):
+    docs.limit(20).write.parquet(f"file://{tmp_path}/in/documents.parquet")
+    monkeypatch.setattr(common, "scratch_root", lambda spark: f"{tmp_path}/bare füll folder")
+    got = token_shards.op2_token_shards(spark, f"file://{tmp_path}/in").collect()
+    (out,) = (tmp_path / "bare füll folder").glob("tarnlens-shards-*")
+    read = list(token_shards.read_slots(common.uri_of(spark, str(out))))
+    assert len(got) == len(read) > 0
+    assert all(hashlib.sha256(read[r.slot][: r.n_tokens].tobytes()).hexdigest() == r.ids_sha256 for r in got)
+
+
 @pytest.mark.parametrize("total", [1, 2, 3, 17, 256, 1000])
 def test_slots_are_a_permutation(total):
     got = token_shards.slots(np.arange(total), total)
