@@ -12,11 +12,13 @@ To bring together what can be linked at all, without all pairs:
    catch-all for sets with very many empty parts keep this exact. Very common shingles, by counters of a fixed number that
    all documents fill, are left out of the parts, so a passage that very many documents hold brings none of them together.
    Sets that share signatures, as many of a band as linked sets must, form candidate groups: T-occurrence once more, as a
-   set that met others by accident shares a few.
+   set that met others by accident shares a few. Bands of even and of odd numbers may be met in turn: signatures of one never
+   meet those of the other, and only half of them are on disk at once.
 3. A group is searched in chunks of bounded size. A pair that is known to be connected isn't searched again. Chunks are
    joined by one representative of each component found. Groups that are still in several components, and large, are split again
    by signatures of other seeds; what is left of all of them is searched whole: every set outside its group's largest component
-   against all chunks, in blocks. So no link between components is lost, and no group meets in one task.
+   against all chunks, in blocks, and in as many rounds as keep what is dealt to a multiple of the sets. So no link between
+   components is lost, no group meets in one task, and disk doesn't grow with the square of a group.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ import itertools
 import math
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +45,8 @@ from .components import components
 CHUNK_SETS, CHUNK_SHINGLES, ACROSS_SETS = 64, 1 << 20, 1024
 #: Groups whose last search has more blocks than this are split again before it; in others that costs more than it saves.
 FEW_BLOCKS = 8
+#: Copies of the sets' shingles that a round of the last search deals out at most, on average.
+ROUND_COPIES = 4
 #: Counters of shingles, a power of two, and the pieces that they are added up in.
 COUNTERS, SEGMENTS = 1 << 19, 32
 #: Times the mean count from which on a shingle is very common.
@@ -104,9 +109,9 @@ class Threshold:
         return differ + spare, spare
 
 
-def signatures(s: np.ndarray, threshold: Threshold, common_ones: np.ndarray | None = None, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def signatures(s: np.ndarray, threshold: Threshold, common_ones: np.ndarray | None = None, seed: int = 0, odd: bool | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, and for each how many of its band two linked sets have in common at least, whatever the seed by which shingles
-    are dealt. The lowest bit tells a set's two bands apart.
+    are dealt. The lowest bit tells a set's two bands apart; odd asks for that of an odd or of an even number alone.
 
     Shingles that common_ones (flags by counter) marks are left out of the parts: sets differ no more in what is left. Of the
     parts that are equal in linked sets at most a set's own empty ones bring no hash.
@@ -116,8 +121,10 @@ def signatures(s: np.ndarray, threshold: Threshold, common_ones: np.ndarray | No
     own = threshold.band(len(s))
     if common_ones is not None:
         s = s[~common_ones[_counter(s)]]
-    out, needs = [], []
+    out, needs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
     for band in (own, own - 1) if own else (own,):
+        if odd is not None and band & 1 != odd:
+            continue
         k, spare = threshold.parts(band)
         part = (mix(s + np.uint64((seed << 32) + band + 1)) >> np.uint64(32)).astype(np.int64) % k
         order = np.argsort(part, kind="stable")
@@ -286,11 +293,11 @@ def shingle_counters(parts: DataFrame) -> np.ndarray:
     return np.minimum(total.ravel(), 2**31 - 1).astype(np.int32)
 
 
-def _signed(n: int, percent: int, common_ones):
+def _signed(n: int, percent: int, common_ones, odd: bool | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         threshold = Threshold(percent)
         for b in batches:
-            found = [signatures(s, threshold, common_ones.value) for s in shingle_sets(b.column("text").to_pylist(), n)]
+            found = [signatures(s, threshold, common_ones.value, odd=odd) for s in shingle_sets(b.column("text").to_pylist(), n)]
             yield _signature_rows(found, [b.column("id")], ["id"])
 
     return run
@@ -372,14 +379,24 @@ def dealt(rows: DataFrame, counts: DataFrame, by: str = "part", count: str = "ch
     return rows.join(counts, by, "left").withColumn(count, F.coalesce(count, F.lit(1).cast("bigint"))).withColumn(to, F.pmod(F.xxhash64("id", F.lit(salt)), F.col(count)))
 
 
-def link_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def search_rounds(told: DataFrame, blocks: DataFrame, chunks: DataFrame, sets: DataFrame) -> int:
+    """In how many rounds all blocks meet all chunks, so that each deals out some ROUND_COPIES times the sets' shingles."""
+    size = told.groupBy("part").agg(F.sum("size").alias("every"), F.sum(F.when(F.col("label") != F.col("main"), F.col("size"))).alias("asked"))
+    one = lambda c: F.coalesce(c, F.lit(1).cast("bigint"))
+    dealt_out = F.sum(F.col("every") * one("blocks") + F.col("asked") * one("chunks"))
+    copies = size.join(blocks, "part", "left").join(chunks, "part", "left").agg(dealt_out).first()[0] or 0
+    return max(1, math.ceil(copies / (ROUND_COPIES * (sets.agg(F.sum("size")).first()[0] or 1))))
+
+
+def link_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", in_turn: bool = False) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id), one per input row.
 
     Two documents link when their sets of n-word shingles have a Jaccard similarity of percent / 100 or more; component_id
     is the smallest id reachable. Null, empty and blank texts have no shingles and link with nothing. Rows that repeat an
     id are one node, each with its own n_shingles. A null id comes before all others, as its component_id shows by being
     null. Ids are integers; other types raise TypeError. Other columns are ignored, whatever their names; an empty table
-    gives an empty result.
+    gives an empty result. in_turn has signatures of even and of odd bands met one after the other: results are the same, the
+    disk for signatures is half as much, and shingles are cut twice more.
     """
     source = docs.select(common.integer_id(docs, id_col).alias("id"), F.col(text_col).alias("text"))
     scanned = common.settled(common.arrow_map(source, _sized(n), "id bigint, n_shingles bigint, digest binary, counts binary"), "sized")
@@ -393,17 +410,20 @@ def link_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     held = common.settled(sized.join(classes, "digest").filter("id <> rep").select("id", "rep"), "held")
     copies = held.select("id").distinct().join(reps, "id", "left_anti")
     first_of_each = source.join(common.settled(copies, "copies"), "id", "left_anti")
-    signed = common.arrow_map(first_of_each, _signed(n, percent, common_ones), "signature bigint, need int, id bigint")
-    shared = common.settled(signed.groupBy("signature").agg(F.min("id").alias("lead"), F.max("id").alias("last")).filter("last > lead").select("signature", "lead"), "shared")
-    led = led_by(signed, shared, ["signature"])
-    groups = components(common.arrow_map(led, _chained, "a bigint, b bigint"))
+    edge = "a bigint, b bigint"
+    chains = []
+    for odd in (False, True) if in_turn else (None,):
+        signed = common.arrow_map(first_of_each, _signed(n, percent, common_ones, odd), "signature bigint, need int, id bigint")
+        shared = common.settled(signed.groupBy("signature").agg(F.min("id").alias("lead"), F.max("id").alias("last")).filter("last > lead").select("signature", "lead"), "shared")
+        chains.append(common.settled(common.arrow_map(led_by(signed, shared, ["signature"]), _chained, edge), "chains"))
+        common.dropped(shared)
+    groups = components(reduce(DataFrame.unionByName, chains))
+    common.dropped(*chains)
     told = groups.select(F.col("node").alias("id"), F.col("label").alias("part"))
     sets = common.arrow_map(source.join(told, "id").select("id", "text", "part"), _shingled(n), "id bigint, part bigint, size bigint, shingles binary")
     sets = common.settled(sets, "sets")
-    common.dropped(shared)
     known = sets.select("id", "shingles")
 
-    edge = "a bigint, b bigint"
     counts = chunk_counts(sets, "part", CHUNK_SETS)
     first = common.settled(dealt(sets, counts).groupBy("part", "chunk").applyInArrow(_within(percent), edge).distinct(), "within")
     several = sets.drop("shingles").join(counts.select("part"), "part")
@@ -429,8 +449,11 @@ def link_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
             index = dealt(told.join(asked.select("part").distinct(), "part", "left_semi").join(known, "id"), chunks).join(blocks, "part", "left").withColumn("block", every("blocks"))
             queries = dealt(asked.join(known, "id"), blocks, count="blocks", to="block", salt=11).join(chunks, "part", "left").withColumn("chunk", every("chunks"))
             met = index.select(*mine, F.lit(False).alias("asked")).unionByName(queries.select(*mine, F.lit(True).alias("asked")))
-            third = met.groupBy("part", "chunk", "block").applyInArrow(_across(percent), edge)
-            links = common.settled(links.unionByName(third), "across")
+            rounds = search_rounds(told, blocks, chunks, sets)
+            for r in range(rounds):
+                mine_now = met.filter(F.pmod(F.xxhash64("part", "chunk", "block", F.lit(13)), F.lit(rounds)) == r)
+                third = common.settled(mine_now.groupBy("part", "chunk", "block").applyInArrow(_across(percent), edge), "across")
+                links = links.unionByName(third)
     common.dropped(sets)
     # an id whose rows have different texts is one node: it ties their classes together
     tied = held.unionByName(reps.join(held.select("id").distinct(), "id", "left_semi").select("id", F.col("id").alias("rep")))

@@ -265,6 +265,45 @@ def test_groups_of_unlike_sets_are_split_again(spark, monkeypatch):
     assert left and all(after <= before for before, after in left)
 
 
+@pytest.mark.parametrize("in_turn", [False, True])
+def test_disk_of_the_join_is_bounded(spark, monkeypatch, in_turn):
+    """Unlike sets in one large group: no round of signatures holds more than half of them if they are met in turn, the last
+    search deals its sets out in rounds, and all links are found."""
+    r = random.Random(11)
+    table = [(i, " ".join(r.sample("abcdefghijklmnop", r.choice((5, 6, 7))))) for i in range(300)]
+    monkeypatch.setattr(ngram_join, "CHUNK_SETS", 8)
+    monkeypatch.setattr(ngram_join, "ACROSS_SETS", 16)
+    monkeypatch.setattr(ngram_join, "FEW_BLOCKS", 1 << 30)
+    docs = spark.createDataFrame(table, "doc_id bigint, text string").repartition(2)
+    sets = {i: brute.shingles(t, 1) for i, t in table}
+    written, whole = [], common.settled
+    monkeypatch.setattr(common, "settled", lambda df, label: written.append(label) or whole(df, label))
+    got = by_id(ngram_join.link_components(docs, 1, 60, in_turn=in_turn))
+    assert {i: x.component_id for i, x in got.items()} == brute.components(sets, 60)
+    assert written.count("across") > 1 and written.count("shared") == written.count("chains") == 1 + in_turn
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90])
+def test_bands_in_turn_have_all_signatures(percent):
+    r, t = np.random.default_rng(percent), ngram_join.Threshold(percent)
+    for size in (0, 1, 2, 7, 40, 300):
+        s = np.unique(r.integers(0, 1 << 63, size, dtype=np.uint64))
+        whole, *turns = (sorted(zip(*(x.tolist() for x in ngram_join.signatures(s, t, odd=odd)), strict=True)) for odd in (None, False, True))
+        assert whole == sorted(turns[0] + turns[1]) and all(x & 1 == odd for odd in (0, 1) for x, _ in turns[odd])
+
+
+def test_pipeline_meets_signatures_in_turn(spark, monkeypatch):
+    import corpus_pipeline
+
+    asked, whole = [], ngram_join.link_components
+    monkeypatch.setattr(ngram_join, "link_components", lambda *a, **k: asked.append(k.get("in_turn")) or whole(*a, **k))
+    text = " ".join(f"w{i}" for i in range(30))
+    for ids in ([1, 2, 3], [1, 1, None]):
+        docs = spark.createDataFrame([(i, text if k < 2 else text[::-1]) for k, i in enumerate(ids)], "doc_id bigint, text string")
+        assert corpus_pipeline.drop_near_duplicates(spark, docs, "").count() == 2
+    assert asked == [True, True]
+
+
 def test_ngram_join_defined_cases(docs, rows, empty, doubled):
     assert ngram_join.link_components(empty).count() == 0
     got = ngram_join.link_components(doubled, 3, 90).collect()
