@@ -27,7 +27,7 @@ def scratch(spark: SparkSession, label: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     path = f"{root.rstrip('/')}/tarnlens-{label}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    atexit.register(remove, spark, path)
     return path
 
 
@@ -41,7 +41,7 @@ def put(spark: SparkSession, path: str, data: bytes) -> None:
         out.close()
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
     try:
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)

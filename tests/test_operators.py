@@ -1,5 +1,7 @@
 """Operators and scalar functions on small tables."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from tarnlens.functions import text as T
@@ -47,6 +49,55 @@ def test_empty_closure(spark):
     assert closure.transitive(spark.createDataFrame([], "src int, dst int")).count() == 0
 
 
+def reachable(edges):
+    ahead, pairs = {}, set()
+    for a, b in edges:
+        ahead.setdefault(a, set()).add(b)
+    for a in ahead:
+        found, left = set(), list(ahead[a])
+        while left:
+            if (x := left.pop()) not in found:
+                found.add(x)
+                left += ahead.get(x, ()) if x is not None else ()
+        pairs |= {(a, b) for b in found}
+    return pairs
+
+
+def shuffled_records(spark, run):
+    """What run() returns, and the records that its stages shuffled."""
+    sc, none = spark.sparkContext, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def stages():
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found = sc._jsc.sc().statusStore().stageList(None, False, False, none, None)
+        return {s.stageId(): s.shuffleWriteRecords() for s in (found.apply(i) for i in range(found.size()))}
+
+    last = max(stages(), default=-1)
+    out = run()
+    return out, sum(n for k, n in stages().items() if k > last)
+
+
+def test_closure_of_chains_shuffles_few_records(spark):
+    """Many short chains beside a circle: pairs that are known aren't met and compared again in each round."""
+    edges = [(100 * g + i, 100 * g + i + 1) for g in range(200) for i in range(1 + g % 19)] + [(-1, -2), (-2, -3), (-3, -1)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got, records = shuffled_records(spark, lambda: [tuple(r) for r in closure.transitive(spark.createDataFrame(edges, "src int, dst int")).collect()])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(got) == sorted(reachable(edges))
+    assert records < 7 * len(got)
+
+
+def test_closure_of_any_graph(spark):
+    """Small graphs with circles, loops, side paths and repeated edges, and keys that are null."""
+    r = random.Random(3)
+    edges = [(100 * g + r.randrange(n), 100 * g + r.randrange(n)) for g in range(60) for n in [r.randint(1, 14)] for _ in range(r.randint(1, 26))]
+    edges += [(None, -1), (None, -1), (-1, -2), (-2, -3), (-3, -4), (-4, None)]
+    got = [tuple(x) for x in closure.transitive(spark.createDataFrame(edges, "src int, dst int")).collect()]
+    assert len(got) == len(set(got)) and set(got) == reachable(edges)
+
+
 def test_dedup_is_idempotent_and_keeps_counts(spark):
     df = spark.createDataFrame([(3, "x  y", "b"), (1, "x y", "a"), (2, "z", "a")], "id int, t string, l string")
     rows = merge.dedup(df, merge.normalised("t"), "id", {"ids": "id", "ls": "l"}).orderBy("first_id").collect()
